@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -25,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +35,16 @@ MAGIC = b"EPL1"
 BLOCK = 1 << 16
 END_ID = 2
 LEVEL = 3
-#: Distinct chunks whose ids a Python worker remembers; then it starts afresh.
-CACHE = 600_000
+#: Distinct chunks whose ids a Python worker remembers; then it forgets the older half.
+CACHE = 2_000_000
 
 _encoders: dict[str, "Encoder"] = {}
-_ODD_SPACE = re.compile(r"[^\S \n]")
+_ENDS_IN_SPACE = "[ \\t\\n\\v\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]$"
+#: Stands between chunks; texts that hold it take the slower way.
+MARK = "\U0010ffff"
+#: Some of the characters that the split pattern takes for letters.
+_LETTERS = "\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}"
+_ODD_TEXT = "  | \n|\n |\n\n|^ | $|[\\t\\v\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
 class Encoder:
@@ -59,29 +64,51 @@ class Encoder:
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        self.names, self.flat, self.length = pa.array([], pa.large_string()), np.empty(0, "<u4"), np.empty(0, np.int64)
+        vocabulary = self.tokenizer.get_vocab()
+        # byte-level tokens are spelt with one character per byte
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts on end, and how many each text has."""
         if not self.by_chunk:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [chunks(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({c for x in split for c in x if c not in known})
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join([known[c] for c in x]) for x in split]
+            found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.empty(0, "<u4"), *found]), np.array([len(x) for x in found], np.int64)
+        codes, counts, names = coded(texts)
+        if len(self.names) > CACHE:
+            half = len(self.names) // 2
+            self.names, self.flat, self.length = self.names[half:], self.flat[int(self.length[:half].sum()) :], self.length[half:]
+        self.learn(names.filter(pc.is_null(pc.index_in(names, self.names))))
+        place = pc.index_in(names, self.names).to_numpy()
+        return gather(self.flat, self.length, place[codes], counts)
+
+    def learn(self, new: pa.Array) -> None:
+        """Remembers the ids of distinct chunks.
+
+        Chunks that begin with a space and end in no white space are again cut where one text of them all is, so
+        the library encodes them as texts of many chunks, and the tokens' widths tell where each chunk ends.
+        """
+        joins = pc.and_(pc.starts_with(new, " "), pc.invert(pc.match_substring_regex(new, _ENDS_IN_SPACE)))
+        joined, rest = new.filter(joins), new.filter(pc.invert(joins))
+        flat, length = [self.flat], [self.length]
+        for i in range(0, len(joined), 4096):
+            part = joined[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part.to_pylist())], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(pc.binary_length(part).to_numpy())
+            at = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
+            flat.append(ids)
+            length.append(np.diff(at, prepend=0))
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(rest.to_pylist(), add_special_tokens=False)]
+        self.names = pa.concat_arrays([self.names, joined, rest])
+        self.flat = np.concatenate([*flat, *found])
+        self.length = np.concatenate([*length, np.array([len(x) for x in found], np.int64)])
 
 
 def chunks(text: str) -> list[str]:
     """The text cut before every space that stands between two characters that are no white space."""
     first, *rest = text.split(" ")
-    if not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text)):
-        return [first, *[" " + part for part in rest]]
     out = [first]
     for part in rest:
         before = out[-1]
@@ -92,6 +119,48 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The chunks of all texts on end, as places in a list of distinct ones; how many each text has; and that list.
+
+    All in Arrow's own code, but for texts with unusual white space.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        parts = pa.array([chunks(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+    else:
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", MARK + "\n" + MARK)
+        # a full stop or comma between a letter or digit and a cut is a match of its own
+        marked = pc.replace_substring_regex(marked, f"([0-9A-Za-z{_LETTERS}])([.,])({MARK}|$)", f"\\1{MARK}\\2\\3")
+        odd = pc.match_substring_regex(texts, _ODD_TEXT)
+        if pc.any(odd).as_py():
+            marked = pc.replace_with_mask(marked, odd, pa.array([MARK.join(chunks(t)) for t in texts.filter(odd).to_pylist()], pa.large_string()))
+        parts = pc.split_pattern(marked, MARK)
+    flat = parts.flatten().dictionary_encode()
+    return flat.indices.to_numpy(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+
+
+def gather(flat: np.ndarray, length: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins pieces of flat (one of each length after another) in the order of codes, and sums lengths by counts."""
+    first = np.cumsum(length) - length
+    n = length[codes]
+    ends = np.cumsum(n)
+    place = np.repeat(first[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+    upto = np.concatenate([[0], ends])[np.cumsum(counts)] if len(counts) else np.empty(0, np.int64)
+    return flat[place], np.diff(upto, prepend=0)
+
+
+def slices(texts: pa.Array, size: int = 16_000_000) -> Iterator[tuple[int, int]]:
+    """Places (start, end) that cut an array into runs of about so many bytes of text."""
+    if not len(texts):
+        return
+    held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    ends = [*(np.flatnonzero(np.diff(held)) + 1).tolist(), len(texts)]
+    start = 0
+    for end in ends:
+        yield start, end
+        start = end
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for this file."""
     if path not in _encoders:
@@ -209,10 +278,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, bits: bool = False,
         out = writer = path = None
         first = is_null = None
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                if not part.num_rows:
-                    continue
+            for begin, upto in slices(batch.column(1)):
+                part = batch.slice(begin, upto - begin)
                 if writer is None:
                     system, base = _files(folder)
                     system.create_dir(base, recursive=True)
@@ -220,10 +287,11 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, bits: bool = False,
                     out = system.open_output_stream(path)
                     writer = Writer(out, bits)
                     first, is_null = part.column(0)[0].as_py(), part.column(0)[0].as_py() is None
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = encoder(tokenizer).encode(texts)
-                for doc, x in zip(part.column(0).to_pylist(), ids, strict=True):
-                    writer.add(NULL_DOC if doc is None else doc, x + end)
+                ids, counts = encoder(tokenizer).encode(part.column(1))
+                raw, at = ids.tobytes(), 0
+                for doc, n_ids in zip(part.column(0).to_pylist(), (4 * counts).tolist(), strict=True):
+                    writer.add(NULL_DOC if doc is None else doc, raw[at : at + n_ids] + end)
+                    at += n_ids
         if writer is not None:
             n_docs, n_ids = writer.close()
             out.close()
