@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +43,6 @@ ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
 PART, CLOSEST = 1024, 4
 
 U = np.uint64
-_word_hashes: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,94 +52,137 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def shingles(text: str, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    if not words:
-        return np.empty(0, U)
-    known = _word_hashes
-    if len(known) > 1_000_000:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), U, len(words))
-    size = min(size, len(h))
-    n = len(h) - size + 1
-    s = np.full(n, U(size))
+def shingle_sets(texts: list[str], size: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text."""
+    parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    counts = pc.list_value_length(parts).to_numpy().astype(np.int64)
+    flat = parts.flatten()
+    held = pc.not_equal(flat, "")
+    if not pc.all(held).as_py():
+        own = np.repeat(np.arange(len(texts)), counts)[held.to_numpy(zero_copy_only=False)]
+        counts, flat = np.bincount(own, minlength=len(texts)), flat.filter(held)
+    coded = flat.dictionary_encode()
+    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), U, len(names))[coded.indices.to_numpy()]
+    # shingles of the texts on end; those that cross into the next text are left out below
+    s = np.full(max(0, len(h) - size + 1), U(size))
     for k in range(size):
-        s = mix(s * U(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(s)
+        s = mix(s * U(0x9E3779B97F4A7C15) + h[k : k + len(s)])
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= size:
+            out.append(np.unique(s[at : at + n - size + 1]))
+        else:
+            one = np.full(min(n, 1), U(n))
+            for k in range(n):
+                one = mix(one * U(0x9E3779B97F4A7C15) + h[at + k : at + k + 1])
+            out.append(one)
+        at += n
+    return out
+
+
+def shingles(text: str, size: int = WORDS) -> np.ndarray:
+    return shingle_sets([text], size)[0]
+
+
+def uniform(draw: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) of each hash, from its upper 53 bits."""
+    return ((draw >> U(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def darts(elements: np.ndarray, weights: np.ndarray | None, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and ranks of the darts with rank below the bound that hit the elements' regions."""
-    hashes, ranks = [], []
+def darts(elements: np.ndarray, weights: np.ndarray | None, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of elements, hashes and ranks of the darts below each element's bound that hit its region."""
+    places, hashes, ranks = [], [], []
     low, high, level = 0.0, 1.0, 0
     most = 1.0 if weights is None else float(weights.max(initial=0))
     while low < most or level == 0:
-        at, w = (elements, None) if weights is None else (elements[weights > low], weights[weights > low])
-        rank = np.zeros(len(at))
-        m = 0
+        at = np.arange(len(elements)) if weights is None else np.flatnonzero(weights > low)
+        rank, m = np.zeros(len(at)), 0
         while len(at):
-            draw = mix(at + U(((level << 40) + m + 1) * 0x9E3779B97F4A7C15 % 2**64))
-            # the next arrival on a region of width high - low; 53 bits make the uniform draw
-            gap = -np.log(((draw >> U(11)).astype(np.float64) + 0.5) / 2.0**53) / (high - low)
-            rank = rank + gap
-            alive = rank < bound
+            draw = mix(elements[at] + U(((level << 40) + m + 1) * 0x9E3779B97F4A7C15 % 2**64))
+            # the next arrival on a region of width high - low
+            rank = rank - np.log(uniform(draw)) / (high - low)
+            alive = rank < bound[at]
             at, rank, draw = at[alive], rank[alive], draw[alive]
-            if w is not None:
-                w = w[alive]
-                place = low + (high - low) * (mix(draw ^ U(0xD1B54A32D192ED03)) >> U(11)).astype(np.float64) / 2.0**53
-                hit = place < w
-                hashes.append(draw[hit])
-                ranks.append(rank[hit])
+            if weights is None:
+                hit = slice(None)
             else:
-                hashes.append(draw)
-                ranks.append(rank)
+                hit = low + (high - low) * uniform(mix(draw ^ U(0xD1B54A32D192ED03))) < weights[at]
+            places.append(at[hit])
+            hashes.append(draw[hit])
+            ranks.append(rank[hit])
             m += 1
         low, high, level = high, 2 * high, level + 1
-    return np.concatenate(hashes), np.concatenate(ranks)
+    return np.concatenate(places), np.concatenate(hashes), np.concatenate(ranks)
+
+
+def dart_minhashes(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, k: int = K) -> np.ndarray:
+    """A row of k coordinates for each set: the hash of the lowest dart in each. No set may be empty, no weight 0."""
+    out = np.empty((len(sets), k), U)
+    todo, factor = np.arange(len(sets)), 1.0
+    while len(todo):
+        own = np.repeat(np.arange(len(todo)), [len(sets[i]) for i in todo])
+        elements = np.concatenate([sets[i] for i in todo])
+        w = None if weights is None else np.concatenate([weights[i] for i in todo]).astype(np.float64)
+        total = np.array([float(len(sets[i])) if weights is None else float(weights[i].sum()) for i in todo])
+        bound = factor * (k * np.log(k) + 2 * k) / total
+        place, h, rank = darts(elements, w, bound[own])
+        coordinate = ((mix(h ^ U(0xA0761D6478BD642F)) >> U(32)) * U(k) >> U(32)).astype(np.int64)
+        cell = own[place] * k + coordinate
+        lowest = np.full(len(todo) * k, np.inf)
+        np.minimum.at(lowest, cell, rank)
+        least = rank == lowest[cell]
+        held = np.empty(len(todo) * k, U)
+        held[cell[least]] = h[least]
+        full = np.isfinite(lowest.reshape(-1, k)).all(axis=1)
+        out[todo[full]] = held.reshape(-1, k)[full]
+        todo, factor = todo[~full], 2 * factor
+    return out
 
 
 def dart_minhash(elements: np.ndarray, weights: np.ndarray | None = None, k: int = K) -> np.ndarray:
-    """k coordinates: the hash of the lowest dart in each. elements must not be empty, weights must be positive."""
-    total = len(elements) if weights is None else float(weights.sum())
-    bound = (k * np.log(k) + 2 * k) / total
-    while True:
-        h, rank = darts(elements, weights, bound)
-        order = np.argsort(rank, kind="stable")
-        h = h[order]
-        coordinate = (mix(h ^ U(0xA0761D6478BD642F)) >> U(32)).astype(np.int64) * k >> 32
-        held, first = np.unique(coordinate, return_index=True)
-        if len(held) == k:
-            return h[first]
-        bound *= 2
-
-
-def bands(signature: np.ndarray, n: int = BANDS) -> np.ndarray:
-    """One 64-bit key per band."""
-    rows = signature.reshape(n, -1)
-    key = np.arange(n, dtype=U) * U(0x9E3779B97F4A7C15)
-    for k in range(rows.shape[1]):
-        key = mix(key + rows[:, k])
+    """The coordinates of one set."""
+    return dart_minhashes([elements], None if weights is None else [weights], k)[0]
+
+
+def bands(signatures: np.ndarray, n: int = BANDS) -> np.ndarray:
+    """One 64-bit key per band, for each row of coordinates."""
+    rows = signatures.reshape(len(signatures), n, -1)
+    key = np.tile(np.arange(n, dtype=U) * U(0x9E3779B97F4A7C15), (len(rows), 1))
+    for k in range(rows.shape[2]):
+        key = mix(key + rows[:, :, k])
     return key.view(np.int64)
 
 
+def runs(texts: list[str], size: int = 400_000) -> Iterator[list[str]]:
+    """The texts in runs of about so many characters."""
+    now: list[str] = []
+    n = 0
+    for t in texts:
+        now.append(t)
+        n += len(t)
+        if n >= size:
+            yield now
+            now, n = [], 0
+    if now:
+        yield now
+
+
 SKETCH = "struct<bands:array<bigint>,sig:binary>"
 
 
 def _sketched(texts: pa.Array) -> pa.Array:
     keys, sigs = [], []
-    for t in texts:
-        s = shingles(t.as_py() or "")
-        if len(s):
-            sig = dart_minhash(s)
-            keys.append(bands(sig))
-            sigs.append((sig & U(0xFFFF)).astype("<u2").tobytes())
-        else:
-            keys.append(None)
-            sigs.append(None)
-    valid = pa.array([x is None for x in sigs])
+    for run in runs([t.as_py() or "" for t in texts]):
+        sets = shingle_sets(run)
+        held = [s for s in sets if len(s)]
+        sig = dart_minhashes(held) if held else np.empty((0, K), U)
+        rows = zip(bands(sig), (sig & U(0xFFFF)).astype("<u2"), strict=True)
+        for s in sets:
+            key, row = next(rows) if len(s) else (None, None)
+            keys.append(key)
+            sigs.append(None if row is None else row.tobytes())
+    valid = pa.array([x is None for x in sigs], pa.bool_())
     return pa.StructArray.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["bands", "sig"], mask=valid)
 
 
@@ -154,15 +197,17 @@ def _linked(threshold: float):
     def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                a = batch.column(0)[i].as_py()
-                if last[0] != a:
-                    last = (a, shingles(batch.column(2)[i].as_py()))
-                x, y = last[1], shingles(batch.column(3)[i].as_py())
-                # the smaller set bounds the similarity
-                keep.append(min(len(x), len(y)) >= threshold * max(len(x), len(y)) and _jaccard(x, y) >= threshold)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                firsts, texts, other = part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(3).to_pylist())
+                keep = []
+                for a, text, y in zip(firsts, texts, other, strict=True):
+                    if last[0] != a:
+                        last = (a, shingles(text))
+                    x = last[1]
+                    # the smaller set bounds the similarity
+                    keep.append(min(len(x), len(y)) >= threshold * max(len(x), len(y)) and _jaccard(x, y) >= threshold)
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return linked
 
