@@ -40,14 +40,20 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, rows: int = ROWS) -> dict[str, bytes]:
     """Raw dictionaries by language, from at most `rows` labelled rows each, chosen by a hash of the id.
 
-    The window's limit is applied in every task before the shuffle, so a language with a third of all rows sends no
-    more than any other.
+    Labels are counted first; then only rows whose hash is below a language's share are read, about four times as many
+    as are used, so what is shuffled is bounded however many rows a language has.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", "doc_id", F.substring("text", 1, CHARS).alias("text"))
-    seeded = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    chosen = known.withColumn("i", F.row_number().over(seeded)).where(F.col("i") <= rows).orderBy("lang", "i").limit(rows * LANGUAGES + 1).collect()
-    if len(chosen) > rows * LANGUAGES:
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    counts = labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
+    share = F.lit(None).cast("bigint")
+    for r in counts:
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 40, 4 * rows * (1 << 40) // r["count"]))).otherwise(share)
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share
+    known = labelled.where(low & F.col("text").isNotNull()).select("lang", "doc_id", F.substring("text", 1, CHARS).alias("text"))
+    seeded = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", "text")
+    chosen = known.withColumn("i", F.row_number().over(seeded)).where(F.col("i") <= rows).orderBy("lang", "i").collect()
     out: dict[str, bytes] = {}
     for r in chosen:
         held = out.get(r["lang"], b"")
