@@ -3,10 +3,14 @@
 Documents are packed into blocks of bounded text: the block's distinct words (the matches of the split pattern) and
 each document as places in that list. Spark's higher-order functions then fold the ranked merges over the bytes of the
 distinct words alone, with the rank file as a literal map, and the blocks are unpacked into ids per document. It is
-one stage without a shuffle, and nothing but the literal is common to tasks.
+one stage without a shuffle.
+
+Words that occur nearly everywhere would be folded in every block. So the most frequent words of a bounded sample of
+rows (HEAD words of at most LONG bytes) are folded first, by the same fold, and broadcast; blocks hold the other words.
+The sample only decides what is folded once: ids don't depend on it.
 
 A word in the fold is a string of one character per token (code point id + 256, past the surrogates), at first one per
-byte. The literal maps every two-character string whose bytes form a token to that token's character, in slots by CRC,
+byte. The literal maps every two-character string whose bytes form a token to that token's character, in slots by hash,
 so a look-up reads one short map. Each step merges the leftmost pair of lowest rank, as the rank file defines it.
 
 Decoding concatenates the ids' binary pieces.
@@ -21,7 +25,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import zlib
+import struct
+import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,12 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshot.llm.common import arrow, free_name, ship
-from earshot.llm.tokenio import chunks
+from earshot.llm.tokenio import coded, gather, slices
 
 SLOTS = 1 << 17
-#: Characters of text in a block, at which it is closed.
-BLOCK_CHARS = 40_000_000
+#: Bytes of places (four a word) in a block, at which it is closed.
+BLOCK_BYTES = 24_000_000
+#: Bytes from which on a word is merged with a heap.
 LONG = 256
+#: Rows of the sample, words of the head (at most HEAD * LONG bytes, in fact a few MB), chunks a worker remembers.
+SAMPLE, HEAD, KNOWN = 24_000, 400_000, 250_000
 
 
 def char(i: int) -> str:
@@ -52,27 +61,38 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def pair_slots(ranks: dict[bytes, int]) -> list[dict[str, str]]:
-    """The rank map: for each pair of tokens whose bytes join to a token, that token; in slots by CRC-32 of the pair."""
-    slots: list[dict[str, str]] = [{} for _ in range(SLOTS)]
+def pairs(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
+    """Each pair of tokens whose bytes join to a token, and that token, as characters."""
+    out = []
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                pair = char(a) + char(b)
-                slots[zlib.crc32(pair.encode()) % SLOTS][pair] = char(rank)
-    return slots
+                out.append((char(a) + char(b), char(rank)))
+    return out
+
+
+def slot(pair: Column) -> Column:
+    return F.hash(pair).bitwiseAND(F.lit(SLOTS - 1))
 
 
 _literals: dict[tuple[str, str], Column] = {}
 
 
 def rank_literal(spark: SparkSession, path: str) -> Column:
-    """The rank map as a literal array of maps."""
+    """The rank map as a literal array of maps, by slot."""
     key = (spark.sparkContext.applicationId, path)
     if key not in _literals:
+        import pandas as pd
+
+        rows = spark.createDataFrame(pd.DataFrame(pairs(load_ranks(path)), columns=["pair", "token"]))
+        slots: list[dict | None] = [None] * SLOTS
+        for pair, token, at in rows.select("pair", "token", slot(F.col("pair"))).toPandas().itertuples(index=False):
+            if slots[at] is None:
+                slots[at] = {}
+            slots[at][pair] = token
         kind = T.StructType([T.StructField("slots", T.ArrayType(T.MapType(T.StringType(), T.StringType())))])
-        row = spark.createDataFrame([(pair_slots(load_ranks(path)),)], kind)._jdf
+        row = spark.createDataFrame([(slots,)], kind)._jdf
         value = row.queryExecution().executedPlan().executeCollect()[0].getArray(0)
         jvm = spark._jvm
         literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(value, row.schema().apply(0).dataType())
@@ -85,31 +105,28 @@ def rank_literal(spark: SparkSession, path: str) -> Column:
 def fold_merges(word: Column, slots: Column, bytes_from: str, bytes_to: str) -> Column:
     """The token characters of a binary word: a fold of the merge step over its length."""
     start = F.translate(F.decode(word, "ISO-8859-1"), bytes_from, bytes_to)
+    rest = F.lit(1 << 30)
 
-    def pairs(s: Column) -> Column:
-        def look_up(i):
-            pair = F.substring(s, i, F.lit(2))
-            return F.get(slots, F.crc32(pair.cast("binary")).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))[pair]
+    done = F.lit("!")
 
-        return F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), look_up)
+    def step(s: Column, _: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.char_length(s) - 1, F.lit(1)))
+        found = F.transform(F.transform(places, lambda i: F.substring(s, i, F.lit(2))), lambda pair: F.get(slots, slot(pair))[pair])
 
-    def state(s: Column) -> Column:
-        # a one-element transform names s, so that it is computed once
-        return F.transform(
-            F.array(s),
-            lambda x: F.struct(x.alias("s"), F.when(F.char_length(x) > 1, pairs(x)).otherwise(F.array().cast("array<string>")).alias("v")),
-        )[0]
+        # one-element transforms name the list and its minimum, so that they are computed once
+        def merge(found: Column) -> Column:
+            # token characters sort as their ranks do; the position is the leftmost of the lowest
+            def at_lowest(lowest: Column) -> Column:
+                at = F.array_position(found, lowest).cast("int")
+                return F.when(lowest.isNull(), F.concat(done, s)).otherwise(F.concat(F.substring(s, F.lit(1), at - 1), lowest, F.substring(s, at + 2, rest)))
 
-    def step(acc: Column, _: Column) -> Column:
-        def merge(m: Column) -> Column:
-            at = F.array_position(acc["v"], m).cast("int")
-            return state(F.concat(F.substring(acc["s"], F.lit(1), at - 1), m, F.substring(acc["s"], at + 2, F.char_length(acc["s"]))))
+            return F.transform(F.array(F.array_min(found)), at_lowest)[0]
 
-        best = F.transform(F.array(F.array_min(acc["v"])), lambda m: F.when(m.isNull(), acc).otherwise(merge(m)))[0]
-        return F.when(F.size(acc["v"]) == 0, acc).otherwise(best)
+        # a word without a pair left is marked, so the fold's other steps pass it on
+        return F.when(F.startswith(s, done), s).otherwise(F.transform(F.array(found), merge)[0])
 
     n = F.octet_length(word)
-    return F.when(n < 2, start).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), state(start), step)["s"])
+    return F.when(n < 2, start).otherwise(F.replace(F.aggregate(F.sequence(F.lit(2), n), start, step), done, F.lit("")))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -136,101 +153,161 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
+def split_words(texts: pa.Array, pattern: str) -> dict[str, int]:
+    """How often each word occurs."""
+    import regex
+
+    find, out = regex.compile(pattern).findall, Counter()
+    for start, end in slices(texts):
+        codes, _, names = coded(texts.slice(start, end - start))
+        for chunk, n in zip(names.to_pylist(), np.bincount(codes, minlength=len(names)).tolist(), strict=True):
+            for w in find(chunk):
+                out[w] += n
+    return out
+
+
+def head_words(df: DataFrame, ranks_path: str, pattern: str, text: str, size: int = HEAD) -> tuple[list[str], list[str]]:
+    """The most frequent words of a bounded sample of rows, and their token characters."""
+    spark = df.sparkSession
+    n = df.count()
+    rows = df.select(F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").isNotNull())
+    if n > SAMPLE:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.lit((1 << 40) * SAMPLE // n))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = split_words(batch.column(0), pattern)
+            short = [(w, c) for w, c in found.items() if len(w) * 4 <= LONG or len(w.encode()) <= LONG]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([c for _, c in short], pa.int64())], names=["word", "n"])
+
+    words = rows.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    folded = words.select("word", _folded(spark, ranks_path, F.col("word").cast("binary")).alias("tokens")).toArrow()
+    return folded.column("word").to_pylist(), folded.column("tokens").to_pylist()
+
+
+def _folded(spark: SparkSession, ranks_path: str, word: Column) -> Column:
+    ranks = load_ranks(ranks_path)
+    octets = [bytes([b]) for b in range(256) if bytes([b]) in ranks]
+    return fold_merges(word, rank_literal(spark, ranks_path), "".join(o.decode("latin-1") for o in octets), "".join(char(ranks[o]) for o in octets))
+
+
 PACKED = "rows binary, counts binary, places binary, words array<binary>, long array<string>"
 
+_heads: dict[str, tuple[dict, dict]] = {}
 
-def _pack(path: str, pattern: str, carried: int):
+
+def _pack(path: str, pattern: str, carried: int, head):
     """Packs batches (carried columns, text) into one row per block."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        ranks, split = load_ranks(path), regex.compile(pattern)
+        name, common, _ = head.value
+        if name not in _heads:
+            _heads.clear()
+            _heads[name] = ({w: i for i, w in enumerate(common)}, {})
+        # places of words in the head, and of chunks that consist of such words alone: these stay from block to block
+        top, known = _heads[name]
+        split = regex.compile(pattern).findall
         rows, counts, places, size = [], [], [], 0
         words: dict[str, int] = {}
         long: dict[str, int] = {}
-        whole: dict[str, list[int]] = {}
+        own: list[str] = []
 
         def place(word: str) -> int:
+            at = top.get(word)
+            if at is not None:
+                return at
             if len(word) * 4 > LONG and len(word.encode()) > LONG:
                 return ~long.setdefault(word, len(long))
-            return words.setdefault(word, len(words))
+            return len(top) + words.setdefault(word, len(words))
+
+        def learn(chunk: str) -> bytes:
+            found = [place(w) for w in split(chunk)]
+            known[chunk] = out = struct.pack(f"<{len(found)}i", *found)
+            if len(known) > KNOWN or any(i < 0 or i >= len(top) for i in found):
+                own.append(chunk)
+            return out
 
         def close() -> pa.RecordBatch:
             table = pa.Table.from_batches(rows)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
+            ranks = load_ranks(path) if long else {}
             merged = ["".join(map(char, heap_merges(w.encode(), ranks))) for w in long]
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                    pa.array([np.array(counts, "<i4").tobytes()], pa.binary()),
-                    pa.array([np.array([p for x in places for p in x], "<i4").tobytes()], pa.binary()),
+                    pa.array([b"".join(counts)], pa.binary()),
+                    pa.array([b"".join(places)], pa.binary()),
                     pa.array([[w.encode() for w in words]], pa.list_(pa.binary())),
                     pa.array([merged], pa.list_(pa.string())),
                 ],
                 names=["rows", "counts", "places", "words", "long"],
             )
-            for x in (rows, counts, places, words, long, whole):
+            for chunk in own:
+                known.pop(chunk, None)
+            for x in (rows, counts, places, words, long, own):
                 x.clear()
             return out
 
-        for batch in batches:
-            at = 0
-            for i, text in enumerate(batch.column(carried)):
-                text = text.as_py() or ""
-                out: list[int] = []
-                for c in chunks(text) if text else ():
-                    known = whole.get(c)
-                    if known is None:
-                        known = whole[c] = [place(w) for w in split.findall(c)]
-                    out += known
-                places.append(np.array(out, "<i4"))
-                counts.append(len(out))
-                size += len(text)
-                if size >= BLOCK_CHARS:
-                    rows.append(batch.slice(at, i + 1 - at).select(list(range(carried))))
-                    at, size = i + 1, 0
-                    yield close()
-            if at < batch.num_rows:
-                rows.append(batch.slice(at).select(list(range(carried))))
-        if rows:
-            yield close()
+        try:
+            for batch in batches:
+                texts = batch.column(carried)
+                for start, end in slices(texts):
+                    codes, n, names = coded(texts.slice(start, end - start))
+                    per_name = [known.get(c) or learn(c) for c in names.to_pylist()]
+                    length = np.fromiter(map(len, per_name), np.int64, len(per_name)) // 4
+                    found, n = gather(np.frombuffer(b"".join(per_name), "<i4"), length, codes, n)
+                    places.append(found.tobytes())
+                    counts.append(n.astype("<i4").tobytes())
+                    rows.append(batch.slice(start, end - start).select(list(range(carried))))
+                    size += len(places[-1])
+                    if size >= BLOCK_BYTES:
+                        size = 0
+                        yield close()
+            if rows:
+                yield close()
+        finally:
+            for chunk in own:
+                known.pop(chunk, None)
 
     return pack
 
 
-def _unpack(out_schema: pa.Schema):
+def _unpack(out_schema: pa.Schema, head):
     """Unpacks blocks with their words' token characters into (carried columns, ids)."""
 
+    def flat_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int32)
+        flat -= np.where(flat >= 0xE000, 0x900, 0x100).astype(np.int32)
+        return flat, np.fromiter(map(len, words), np.int64, len(words))
+
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, _, tokens = head.value
+        if name not in _heads:
+            _heads.clear()
+            _heads[name] = flat_ids(tokens)
+        top_flat, top_length = _heads[name]
         for batch in batches:
             for r in range(batch.num_rows):
                 table = pa.ipc.open_stream(batch.column("rows")[r].as_buffer()).read_all()
                 counts = np.frombuffer(batch.column("counts")[r].as_py(), "<i4")
                 places = np.frombuffer(batch.column("places")[r].as_py(), "<i4")
-                words, long = batch.column("tokens")[r].as_py(), batch.column("long")[r].as_py()
-                per_word = words + long[::-1]
-                flat = np.frombuffer("".join(per_word).encode("utf-32-le"), "<u4").astype(np.int32)
-                flat -= np.where(flat >= 0xE000, 0x900, 0x100).astype(np.int32)
-                length = np.array([len(w) for w in per_word] or [0], np.int64)
-                first = np.concatenate([[0], np.cumsum(length)[:-1]])
-                at, done = 0, 0
+                # the head, the block's words, and the long ones from the end, as their places are negative
+                flat, length = flat_ids(batch.column("tokens")[r].as_py() + batch.column("long")[r].as_py()[::-1])
+                flat, length = np.concatenate([top_flat, flat]), np.concatenate([top_length, length])
+                at, done, ends = 0, 0, np.cumsum(counts, dtype=np.int64)
                 while done < len(counts):
-                    # so many documents at once that their places stay near a million
-                    upto = done + max(1, int(np.searchsorted(np.cumsum(counts[done:], dtype=np.int64), 1_000_000)))
-                    here = places[at : at + int(counts[done:upto].sum(dtype=np.int64))]
-                    n = length[here]
-                    total = int(n.sum())
-                    place = np.repeat(first[here] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(here) else n, n) + np.arange(total)
-                    ids = flat[place.astype(np.int64)]
-                    ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts[done:upto], dtype=np.int64)]
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids, pa.int32()))
+                    # so many documents at once that their words stay near half a million
+                    upto = done + max(1, int(np.searchsorted(ends[done:] - at, 500_000)))
+                    ids, n = gather(flat, length, places[at : int(ends[upto - 1])], counts[done:upto])
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids, pa.int32()))
                     part = table.slice(done, upto - done).combine_chunks()
                     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns]
                     yield pa.RecordBatch.from_arrays([*columns, lists], schema=out_schema)
-                    at, done = at + len(here), upto
+                    at, done = int(ends[upto - 1]), upto
 
     return unpack
 
@@ -242,29 +319,32 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", car
     carry = tuple(c for c in df.columns if c != text) if carry is None else carry
     tmp = [f"c{i}" for i in range(len(carry))]
     plain = df.select(*[F.col(f"`{c}`").alias(t) for c, t in zip(carry, tmp, strict=True)], F.col(f"`{text}`").cast("string").alias("text"))
-    packed = plain.mapInArrow(_pack(ranks_path, pattern, len(carry)), PACKED)
-    ranks = load_ranks(ranks_path)
-    octets = [bytes([b]) for b in range(256) if bytes([b]) in ranks]
-    literal = rank_literal(spark, ranks_path)
-    folded = F.transform("words", lambda w: fold_merges(w, literal, "".join(o.decode("latin-1") for o in octets), "".join(char(ranks[o]) for o in octets)))
+    head = spark.sparkContext.broadcast((uuid.uuid4().hex, *head_words(df, ranks_path, pattern, text)))
+    packed = plain.mapInArrow(_pack(ranks_path, pattern, len(carry), head), PACKED)
+    folded = F.transform("words", lambda w: _folded(spark, ranks_path, w))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = T.StructType([*[T.StructField(t, plain.schema[t].dataType) for t in tmp], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     schema = to_arrow_schema(kind)
     schema = schema.set(len(tmp), pa.field("ids", pa.list_(pa.int32())))
-    rows = packed.select("rows", "counts", "places", "long", folded.alias("tokens")).mapInArrow(_unpack(schema), kind)
+    rows = packed.select("rows", "counts", "places", "long", folded.alias("tokens")).mapInArrow(_unpack(schema, head), kind)
     return rows.select(*[F.col(t).alias(c) for c, t in zip(carry, tmp, strict=True)], F.col("ids").alias(ids))
 
 
-def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with the bytes that its ids stand for."""
-    ship(df.sparkSession)
+def decoded(ranks_path: str):
+    """A function from a column of ids to the bytes they stand for."""
 
     def join(column: pa.Array) -> pa.Array:
         pieces = _pieces(ranks_path)
         return pa.array([b"".join([pieces[i] for i in x.values.to_numpy().tolist()]) if x.is_valid else b"" for x in column], pa.binary())
 
-    return df.withColumn(decoded, arrow(join, "binary")(F.col(ids)))
+    return arrow(join, "binary")
+
+
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """df with the bytes that its ids stand for."""
+    ship(df.sparkSession)
+    return df.withColumn(to, decoded(ranks_path)(F.col(ids)))
 
 
 @lru_cache(maxsize=4)
@@ -282,8 +362,13 @@ def _ids_sha256(column: pa.Array) -> pa.Array:
 
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the contract, from encoded ids and their decoding."""
-    both = decode(encode(docs, ranks_path, pattern, carry=("doc_id",)), ranks_path)
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), arrow(_ids_sha256, "string")(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = encode(docs, ranks_path, pattern, carry=("doc_id",))
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        arrow(_ids_sha256, "string")(F.col("ids")).alias("ids_sha256"),
+        F.sha2(decoded(ranks_path)(F.col("ids")), 256).alias("decoded_sha256"),
+    )
 
 
 def encoded_docs(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
