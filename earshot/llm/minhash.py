@@ -9,7 +9,7 @@ process that depends on the element alone. The process is drawn per doubling wei
 rank below a bound that leaves about K ln K of them are drawn; each is hashed to one of K coordinates, and a coordinate
 keeps its dart of lowest rank. Two sets agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Candidates: exact copies are one node. BANDS bands of K/BANDS coordinates give bucket keys. In each bucket every node
+Candidates: exact copies are one node. BANDS bands of ROWS coordinates give bucket keys. In each bucket every node
 is compared with one hub, chosen by a hash that differs by bucket; a node is in up to BANDS buckets, so it meets many
 hubs, and the rows are linear in the group. What a bucket leaves in several components is then compared by signature,
 in tasks of bounded size and without emitting pairs: first each node's closest nodes of other components are verified,
@@ -36,7 +36,7 @@ from earshot.llm.common import arrow, components, cut, free_name, ship
 
 WORDS = 5
 THRESHOLD = 0.8
-K, BANDS = 128, 32
+K, BANDS, ROWS = 256, 32, 4
 #: Signatures below this share of equal coordinates are not verified: four standard deviations under the threshold.
 ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
 #: Nodes of a bucket in one task of the remainder, and the closest nodes it proposes first.
@@ -147,7 +147,7 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray | None = None, k: int
 
 def bands(signatures: np.ndarray, n: int = BANDS) -> np.ndarray:
     """One 64-bit key per band, for each row of coordinates."""
-    rows = signatures.reshape(len(signatures), n, -1)
+    rows = signatures[:, : n * ROWS].reshape(len(signatures), n, ROWS)
     key = np.tile(np.arange(n, dtype=U) * U(0x9E3779B97F4A7C15), (len(rows), 1))
     for k in range(rows.shape[2]):
         key = mix(key + rows[:, :, k])
@@ -213,23 +213,21 @@ def _linked(threshold: float):
 
 
 def _remainder(closest: int | None, estimate: float):
-    """Pairs of different components, by signature, within runs of rows (g, node, root, sig) of equal g.
+    """Pairs of different components, by signature, within runs of rows (g, node, root, sig, side, band, bands) of equal g.
 
     Rows of a group are adjacent. With `closest`, a node proposes so many of the most similar nodes of other
-    components; only nodes outside the group's largest component do.
+    components; only nodes outside the group's largest component do. A pair is proposed by the first of its common
+    buckets alone.
     """
 
     def pairs(rows: list) -> list[tuple[bytes, bytes]]:
-        nodes, roots, sigs, side = [], [], [], []
-        for node, root, sig, s in rows:
-            nodes.append(node)
-            roots.append(root)
-            sigs.append(np.frombuffer(sig, "<u2"))
-            side.append(s)
+        if len(rows) < 2:
+            return []
+        nodes, roots, sigs, side, band, keys = zip(*rows, strict=True)
         if len(set(roots)) < 2:
             return []
-        m, roots = np.stack(sigs), np.unique(np.array(roots, object), return_inverse=True)[1]
-        side = np.array(side)
+        m, roots = np.frombuffer(b"".join(sigs), "<u2").reshape(len(rows), -1), np.unique(np.array(roots, object), return_inverse=True)[1]
+        side, keys = np.array(side), np.array(keys)
         largest = np.bincount(roots).argmax()
         out = set()
         for i in np.flatnonzero(roots != largest):
@@ -237,6 +235,7 @@ def _remainder(closest: int | None, estimate: float):
             share[roots == roots[i]] = 0
             if side[i] >= 0:
                 share[side == side[i]] = 0
+            share[(keys == keys[i]).argmax(axis=1) != band[i]] = 0
             good = np.flatnonzero(share >= estimate)
             if closest is not None and len(good) > closest:
                 good = good[np.argsort(-share[good], kind="stable")[:closest]]
@@ -246,11 +245,11 @@ def _remainder(closest: int | None, estimate: float):
     def remainder(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, [], []
         for batch in batches:
-            for g, node, root, sig, side in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for g, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if g != now:
                     out += pairs(held)
                     now, held = g, []
-                held.append((node, root, sig, side))
+                held.append(row)
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -279,11 +278,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("s").alias("s")).select("node", "first", "s.bands", "s.sig"),
         "sketches",
     )
-    dealt = nodes.select("node", F.explode("bands").alias("bucket")).withColumn("prio", F.xxhash64("bucket", "node"))
+    dealt = nodes.select("node", F.posexplode("bands").alias("band", "bucket")).withColumn("prio", F.xxhash64("bucket", "node"))
     busy = dealt.groupBy("bucket").agg(F.min("prio").alias("hub_prio"), F.max("prio").alias("other")).where("hub_prio <> other").select("bucket", "hub_prio")
     members = cut(dealt.join(busy, "bucket"), "buckets")
     hubs = members.where("prio = hub_prio").select("bucket", F.col("node").alias("hub"))
-    stars = members.join(hubs, "bucket").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    stars = members.select("bucket", "node").join(hubs, "bucket").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     involved = members.select("node").distinct().join(nodes.select("node", "first"), "node")
     texts = cut(
         plain.select(digest().alias("n"), F.col("doc_id"), "text")
@@ -315,22 +314,22 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def open_buckets(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (g, node, root, sig, side) of the buckets that still hold several components besides their hub.
+    """Rows (g, node, root, sig, side, band, bands) of the buckets that still hold several components besides their hub.
 
     A hub has been compared with its whole bucket, so it is left out. A bucket of more than PART nodes is dealt into
     parts, and each pair of parts is a group; side tells the part, so a pair of parts compares only across.
     """
-    rooted = members.where("prio <> hub_prio").join(found.withColumnRenamed("root", "r"), members["node"] == found["node"], "left").select("bucket", members["node"], "prio", F.coalesce("r", members["node"]).alias("root"))
+    rooted = members.where("prio <> hub_prio").join(found.withColumnRenamed("root", "r"), members["node"] == found["node"], "left").select("bucket", "band", members["node"], "prio", F.coalesce("r", members["node"]).alias("root"))
     rooted = cut(rooted, "rooted")
     marks = rooted.withColumn("h", F.xxhash64("root"))
     still = marks.groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low <> high")
     still = still.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    rows = rooted.join(still, "bucket").join(nodes.select("node", "sig"), "node").withColumn("part", F.pmod("prio", F.col("parts")).cast("int"))
+    rows = rooted.join(still, "bucket").join(nodes.select("node", "sig", "bands"), "node").withColumn("part", F.pmod("prio", F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("q", other).withColumn("lo", F.least("part", "q")).withColumn("hi", F.greatest("part", "q"))
     g = F.concat_ws(":", "bucket", "lo", "hi")
     side = F.when(F.col("lo") == F.col("hi"), F.lit(-1)).otherwise(F.col("part"))
-    rows = rows.select(g.alias("g"), "node", "root", "sig", side.alias("side"))
+    rows = rows.select(g.alias("g"), "node", "root", "sig", side.alias("side"), "band", "bands")
     return rows.repartition(F.col("g")).sortWithinPartitions("g")
 
 
