@@ -44,9 +44,15 @@ def rhythm_state(events: DataFrame) -> DataFrame:
     return observed(events).groupBy("usr", F.expr("CAST((ts DIV 3600) % 24 AS INT)").alias("hour")).agg(F.count("*").alias("n"))
 
 
-def run_stream(spark: SparkSession, path: str, checkpoint: str, name: str = "profile_state", state=profile_state) -> DataFrame:
-    """Runs the state over a folder of event files until all are read, and returns it as a table in memory."""
-    source = spark.readStream.schema(EVENT_TYPE).option("maxFilesPerTrigger", 1).parquet(path)
-    query = state(source).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_stream(spark: SparkSession, path: str, checkpoint: str, state=profile_state) -> DataFrame:
+    """Runs the state over a folder of event files until all are read; the state after the last batch, as a table."""
+    last: list[str] = []
+
+    def keep(df: DataFrame, batch: int) -> None:
+        last[:] = [f"{checkpoint}/state/{batch}"]
+        df.write.mode("overwrite").parquet(last[0])
+
+    source = spark.readStream.schema(EVENT_TYPE).option("maxFilesPerTrigger", 64).parquet(path)
+    query = state(source).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(last[0]) if last else spark.createDataFrame([], state(spark.createDataFrame([], EVENT_TYPE)).schema)
