@@ -25,28 +25,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import struct
-import uuid
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshot.llm.common import arrow, free_name, ship
-from earshot.llm.tokenio import coded, gather, slices
+from earshot.llm.tokenio import _LETTERS, coded, gather, slices
 
 SLOTS = 1 << 17
-#: Bytes of places (four a word) in a block, at which it is closed.
-BLOCK_BYTES = 24_000_000
+#: Words of text in a block, at which it is closed.
+BLOCK_WORDS = 6_000_000
 #: Bytes from which on a word is merged with a heap.
 LONG = 256
-#: Rows of the sample, words of the head (at most HEAD * LONG bytes, in fact a few MB), chunks a worker remembers.
-SAMPLE, HEAD, KNOWN = 24_000, 400_000, 250_000
+#: Rows of the sample, and words of the head (at most HEAD * LONG bytes, in fact some MB).
+SAMPLE, HEAD = 24_000, 400_000
+#: Chunks that are one word of the split pattern for certain.
+_ONE_WORD = f"^( ?[A-Za-z{_LETTERS}]+| ?[0-9]+| ?[.,]+|\\n)$"
 
 
 def char(i: int) -> str:
@@ -153,21 +153,39 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-def split_words(texts: pa.Array, pattern: str) -> dict[str, int]:
-    """How often each word occurs."""
+def words_of(names: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of distinct chunks; and of each chunk how many it has, and their places in that list."""
     import regex
 
-    find, out = regex.compile(pattern).findall, Counter()
-    for start, end in slices(texts):
-        codes, _, names = coded(texts.slice(start, end - start))
-        for chunk, n in zip(names.to_pylist(), np.bincount(codes, minlength=len(names)).tolist(), strict=True):
-            for w in find(chunk):
-                out[w] += n
-    return out
-
-
-def head_words(df: DataFrame, ranks_path: str, pattern: str, text: str, size: int = HEAD) -> tuple[list[str], list[str]]:
-    """The most frequent words of a bounded sample of rows, and their token characters."""
+    one = pc.match_substring_regex(names, _ONE_WORD).to_numpy(zero_copy_only=False)
+    find = regex.compile(pattern).findall
+    split = [find(c) for c in names.filter(pa.array(~one)).to_pylist()]
+    count = np.ones(len(names), np.int64)
+    count[~one] = [len(x) for x in split]
+    many = pa.array([w for x in split for w in x], pa.large_string())
+    coded_words = pa.concat_arrays([names.filter(pa.array(one)), many]).dictionary_encode()
+    at = coded_words.indices.to_numpy()
+    places = np.empty(int(count.sum()), np.int32)
+    first = np.repeat(one, count)
+    places[first], places[~first] = at[: int(one.sum())], at[int(one.sum()) :]
+    return coded_words.dictionary, count, places
+
+
+def split_words(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of texts, and how often each occurs."""
+    names, seen = [], []
+    for start, end in slices(texts, 5_000_000):
+        codes, _, found = coded(texts.slice(start, end - start))
+        names.append(found)
+        seen.append(np.bincount(codes, minlength=len(found)))
+    chunks = pa.concat_arrays([pa.array([], pa.large_string()), *names]).dictionary_encode()
+    times = np.bincount(chunks.indices.to_numpy(), weights=np.concatenate([np.empty(0), *seen]), minlength=len(chunks.dictionary)).astype(np.int64)
+    words, count, places = words_of(chunks.dictionary, pattern)
+    return words, np.bincount(places, weights=np.repeat(times, count), minlength=len(words)).astype(np.int64)
+
+
+def head_words(df: DataFrame, ranks_path: str, pattern: str, text: str, size: int = HEAD) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The most frequent words of a bounded sample of rows (an Arrow stream), their ids on end and how many each has."""
     spark = df.sparkSession
     n = df.count()
     rows = df.select(F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").isNotNull())
@@ -176,13 +194,27 @@ def head_words(df: DataFrame, ranks_path: str, pattern: str, text: str, size: in
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = split_words(batch.column(0), pattern)
-            short = [(w, c) for w, c in found.items() if len(w) * 4 <= LONG or len(w.encode()) <= LONG]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([c for _, c in short], pa.int64())], names=["word", "n"])
+            words, n = split_words(batch.column(0), pattern)
+            short = pc.less_equal(pc.binary_length(words), LONG)
+            yield pa.RecordBatch.from_arrays([words.filter(short).cast(pa.string()), pa.array(n).filter(short)], names=["word", "n"])
 
-    words = rows.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    words = rows.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).repartition(24)
     folded = words.select("word", _folded(spark, ranks_path, F.col("word").cast("binary")).alias("tokens")).toArrow()
-    return folded.column("word").to_pylist(), folded.column("tokens").to_pylist()
+    return as_stream(folded.select(["word"])), *flat_ids(folded.column("tokens").to_pylist())
+
+
+def as_stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def flat_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the token characters of all words on end, and how many each has."""
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int32)
+    flat -= np.where(flat >= 0xE000, 0x900, 0x100).astype(np.int32)
+    return flat, np.fromiter(map(len, words), np.int64, len(words))
 
 
 def _folded(spark: SparkSession, ranks_path: str, word: Column) -> Column:
@@ -193,103 +225,75 @@ def _folded(spark: SparkSession, ranks_path: str, word: Column) -> Column:
 
 PACKED = "rows binary, counts binary, places binary, words array<binary>, long array<string>"
 
-_heads: dict[str, tuple[dict, dict]] = {}
-
-
 def _pack(path: str, pattern: str, carried: int, head):
     """Packs batches (carried columns, text) into one row per block."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        name, common, _ = head.value
-        if name not in _heads:
-            _heads.clear()
-            _heads[name] = ({w: i for i, w in enumerate(common)}, {})
-        # places of words in the head, and of chunks that consist of such words alone: these stay from block to block
-        top, known = _heads[name]
-        split = regex.compile(pattern).findall
-        rows, counts, places, size = [], [], [], 0
-        words: dict[str, int] = {}
-        long: dict[str, int] = {}
-        own: list[str] = []
-
-        def place(word: str) -> int:
-            at = top.get(word)
-            if at is not None:
-                return at
-            if len(word) * 4 > LONG and len(word.encode()) > LONG:
-                return ~long.setdefault(word, len(long))
-            return len(top) + words.setdefault(word, len(words))
-
-        def learn(chunk: str) -> bytes:
-            found = [place(w) for w in split(chunk)]
-            known[chunk] = out = struct.pack(f"<{len(found)}i", *found)
-            if len(known) > KNOWN or any(i < 0 or i >= len(top) for i in found):
-                own.append(chunk)
-            return out
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
+        top = pa.ipc.open_stream(head.value[0]).read_all().column(0).combine_chunks().cast(pa.large_string())
+        rows: list[pa.RecordBatch] = []
+        held: list[tuple] = []
 
         def close() -> pa.RecordBatch:
-            table = pa.Table.from_batches(rows)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            ranks = load_ranks(path) if long else {}
-            merged = ["".join(map(char, heap_merges(w.encode(), ranks))) for w in long]
+            names = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
+            words, count, at = words_of(names.dictionary, pattern)
+            # a word's place: in the head, after it among the block's own, or negative among the long ones
+            known = pc.index_in(words, top)
+            place = pc.fill_null(known, 0).to_numpy().astype(np.int32)
+            new = known.is_null().to_numpy(zero_copy_only=False)
+            long = new & (pc.binary_length(words).to_numpy() > LONG)
+            own = new & ~long
+            place[own] = len(top) + np.arange(int(own.sum()))
+            place[long] = ~np.arange(int(long.sum()))
+            flat, of_name, counts, places, start = place[at], names.indices.to_numpy(), [], [], 0
+            for codes, n, found in held:
+                here, n = gather(flat, count, of_name[start : start + len(found)][codes], n)
+                places.append(here.astype("<i4").tobytes())
+                counts.append(n.astype("<i4").tobytes())
+                start += len(found)
+            ranks = load_ranks(path) if long.any() else {}
+            merged = ["".join(map(char, heap_merges(w.encode(), ranks))) for w in words.filter(pa.array(long)).to_pylist()]
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                    pa.array([as_stream(pa.Table.from_batches(rows))], pa.binary()),
                     pa.array([b"".join(counts)], pa.binary()),
                     pa.array([b"".join(places)], pa.binary()),
-                    pa.array([[w.encode() for w in words]], pa.list_(pa.binary())),
+                    _one_list(words.filter(pa.array(own)).cast(pa.large_binary()).cast(pa.binary())),
                     pa.array([merged], pa.list_(pa.string())),
                 ],
                 names=["rows", "counts", "places", "words", "long"],
             )
-            for chunk in own:
-                known.pop(chunk, None)
-            for x in (rows, counts, places, words, long, own):
-                x.clear()
+            rows.clear()
+            held.clear()
             return out
 
-        try:
-            for batch in batches:
-                texts = batch.column(carried)
-                for start, end in slices(texts):
-                    codes, n, names = coded(texts.slice(start, end - start))
-                    per_name = [known.get(c) or learn(c) for c in names.to_pylist()]
-                    length = np.fromiter(map(len, per_name), np.int64, len(per_name)) // 4
-                    found, n = gather(np.frombuffer(b"".join(per_name), "<i4"), length, codes, n)
-                    places.append(found.tobytes())
-                    counts.append(n.astype("<i4").tobytes())
-                    rows.append(batch.slice(start, end - start).select(list(range(carried))))
-                    size += len(places[-1])
-                    if size >= BLOCK_BYTES:
-                        size = 0
-                        yield close()
-            if rows:
-                yield close()
-        finally:
-            for chunk in own:
-                known.pop(chunk, None)
+        size = 0
+        for batch in batches:
+            texts = batch.column(carried)
+            for start, end in slices(texts, 5_000_000):
+                held.append(coded(texts.slice(start, end - start)))
+                rows.append(batch.slice(start, end - start).select(list(range(carried))))
+                size += len(held[-1][0])
+                if size >= BLOCK_WORDS:
+                    size = 0
+                    yield close()
+        if rows:
+            yield close()
 
     return pack
 
 
-def _unpack(out_schema: pa.Schema, head):
-    """Unpacks blocks with their words' token characters into (carried columns, ids)."""
+def _one_list(values: pa.Array) -> pa.Array:
+    """An array of one list of these values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
 
-    def flat_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int32)
-        flat -= np.where(flat >= 0xE000, 0x900, 0x100).astype(np.int32)
-        return flat, np.fromiter(map(len, words), np.int64, len(words))
+def _unpack(head, finish):
+    """Unpacks blocks with their words' token characters into what `finish` makes of (carried columns, ids)."""
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, _, tokens = head.value
-        if name not in _heads:
-            _heads.clear()
-            _heads[name] = flat_ids(tokens)
-        top_flat, top_length = _heads[name]
+        pa.set_memory_pool(pa.system_memory_pool())
+        _, top_flat, top_length = head.value
         for batch in batches:
             for r in range(batch.num_rows):
                 table = pa.ipc.open_stream(batch.column("rows")[r].as_buffer()).read_all()
@@ -300,51 +304,59 @@ def _unpack(out_schema: pa.Schema, head):
                 flat, length = np.concatenate([top_flat, flat]), np.concatenate([top_length, length])
                 at, done, ends = 0, 0, np.cumsum(counts, dtype=np.int64)
                 while done < len(counts):
-                    # so many documents at once that their words stay near half a million
-                    upto = done + max(1, int(np.searchsorted(ends[done:] - at, 500_000)))
+                    # so many documents at once that their words stay near a quarter of a million
+                    upto = done + max(1, int(np.searchsorted(ends[done:] - at, 250_000)))
                     ids, n = gather(flat, length, places[at : int(ends[upto - 1])], counts[done:upto])
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids, pa.int32()))
                     part = table.slice(done, upto - done).combine_chunks()
-                    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns]
-                    yield pa.RecordBatch.from_arrays([*columns, lists], schema=out_schema)
+                    yield finish([c.chunk(0) for c in part.columns], lists)
                     at, done = int(ends[upto - 1]), upto
 
     return unpack
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", carry: tuple[str, ...] | None = None, ids: str = "ids") -> DataFrame:
-    """The columns to carry and an array of the text's token ids."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", carry: tuple[str, ...] | None = None, ids: str = "ids", finish=None) -> DataFrame:
+    """The columns to carry and an array of the text's token ids.
+
+    finish: (function of lists of ids, its schema as DDL), to give columns made of the ids in place of the ids, so that
+    they needn't leave the Python worker.
+    """
     spark = df.sparkSession
     ship(spark)
     carry = tuple(c for c in df.columns if c != text) if carry is None else carry
     tmp = [f"c{i}" for i in range(len(carry))]
     plain = df.select(*[F.col(f"`{c}`").alias(t) for c, t in zip(carry, tmp, strict=True)], F.col(f"`{text}`").cast("string").alias("text"))
-    head = spark.sparkContext.broadcast((uuid.uuid4().hex, *head_words(df, ranks_path, pattern, text)))
+    head = spark.sparkContext.broadcast(head_words(df, ranks_path, pattern, text))
     packed = plain.mapInArrow(_pack(ranks_path, pattern, len(carry), head), PACKED)
     folded = F.transform("words", lambda w: _folded(spark, ranks_path, w))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kind = T.StructType([*[T.StructField(t, plain.schema[t].dataType) for t in tmp], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    schema = to_arrow_schema(kind)
-    schema = schema.set(len(tmp), pa.field("ids", pa.list_(pa.int32())))
-    rows = packed.select("rows", "counts", "places", "long", folded.alias("tokens")).mapInArrow(_unpack(schema, head), kind)
-    return rows.select(*[F.col(t).alias(c) for c, t in zip(carry, tmp, strict=True)], F.col("ids").alias(ids))
+    made = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]) if finish is None else T._parse_datatype_string(finish[1])
+    kind = T.StructType([*[T.StructField(t, plain.schema[t].dataType) for t in tmp], *[T.StructField(f"m{i}", f.dataType) for i, f in enumerate(made)]])
 
+    def last(columns: list[pa.Array], lists: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*columns, *([lists] if finish is None else finish[0](lists))], names=kind.names)
 
-def decoded(ranks_path: str):
-    """A function from a column of ids to the bytes they stand for."""
+    rows = packed.select("rows", "counts", "places", "long", folded.alias("tokens")).mapInArrow(_unpack(head, last), kind)
+    return rows.select(*[F.col(t).alias(c) for c, t in zip(carry, tmp, strict=True)], *[F.col(f"m{i}").alias(f.name) for i, f in enumerate(made)])
 
-    def join(column: pa.Array) -> pa.Array:
-        pieces = _pieces(ranks_path)
-        return pa.array([b"".join([pieces[i] for i in x.values.to_numpy().tolist()]) if x.is_valid else b"" for x in column], pa.binary())
 
-    return arrow(join, "binary")
+def decode_lists(lists: pa.Array, ranks_path: str) -> list[bytes]:
+    """The bytes that each list of ids stands for: its pieces joined."""
+    pieces, flat, at = _pieces(ranks_path), lists.flatten().to_numpy().tolist(), 0
+    out = []
+    for n in pc.fill_null(pc.list_value_length(lists), 0).to_pylist():
+        out.append(b"".join([pieces[i] for i in flat[at : at + n]]))
+        at += n
+    return out
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """df with the bytes that its ids stand for."""
     ship(df.sparkSession)
-    return df.withColumn(to, decoded(ranks_path)(F.col(ids)))
+
+    def join(column: pa.Array) -> pa.Array:
+        return pa.array(decode_lists(column, ranks_path), pa.binary())
+
+    return df.withColumn(to, arrow(join, "binary")(F.col(ids)))
 
 
 @lru_cache(maxsize=4)
@@ -356,19 +368,19 @@ def _pieces(path: str) -> list[bytes]:
     return out
 
 
-def _ids_sha256(column: pa.Array) -> pa.Array:
-    return pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes() if x.is_valid else b"").hexdigest() for x in column], pa.string())
-
-
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the contract, from encoded ids and their decoding."""
-    ids = encode(docs, ranks_path, pattern, carry=("doc_id",))
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        arrow(_ids_sha256, "string")(F.col("ids")).alias("ids_sha256"),
-        F.sha2(decoded(ranks_path)(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+
+    def digests(lists: pa.Array) -> list[pa.Array]:
+        n = pc.list_value_length(lists).to_pylist()
+        raw, at, shas = lists.flatten().to_numpy().astype("<u4").tobytes(), 0, []
+        for k in n:
+            shas.append(hashlib.sha256(raw[at : at + 4 * k]).hexdigest())
+            at += 4 * k
+        decoded = [hashlib.sha256(x).hexdigest() for x in decode_lists(lists, ranks_path)]
+        return [pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+
+    return encode(docs, ranks_path, pattern, carry=("doc_id",), finish=(digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
 
 
 def encoded_docs(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
