@@ -143,7 +143,7 @@ def surviving(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarra
     else:
         i, j = np.nonzero(part >= np.float32(low - 1e-4))
     held = part[i, j].astype(np.float64)
-    for at, upto in zip(runs, [*runs[1:], dim], strict=True):
+    for at, upto in zip(runs, [*runs[1:], dim] if runs else [], strict=True):
         if not len(i):
             break
         if len(i) > 0.05 * part.size:
