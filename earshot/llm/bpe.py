@@ -35,12 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earshot.llm.common import arrow, free_name, ship
+from earshot.llm.common import arrow, free_name, lean, ship
 from earshot.llm.tokenio import _LETTERS, coded, gather, slices
 
 SLOTS = 1 << 17
 #: Words of text in a block, at which it is closed.
 BLOCK_WORDS = 6_000_000
+#: Bytes of carried columns, at which it is closed too.
+BLOCK_BYTES = 5_000_000
 #: Bytes from which on a word is merged with a heap.
 LONG = 256
 #: Rows of the sample, and words of the head (at most HEAD * LONG bytes, in fact some MB).
@@ -193,6 +195,7 @@ def head_words(df: DataFrame, ranks_path: str, pattern: str, text: str, size: in
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.lit((1 << 40) * SAMPLE // n))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             words, n = split_words(batch.column(0), pattern)
             short = pc.less_equal(pc.binary_length(words), LONG)
@@ -205,7 +208,7 @@ def head_words(df: DataFrame, ranks_path: str, pattern: str, text: str, size: in
 
 def as_stream(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -225,11 +228,11 @@ def _folded(spark: SparkSession, ranks_path: str, word: Column) -> Column:
 
 PACKED = "rows binary, counts binary, places binary, words array<binary>, long array<string>"
 
-def _pack(path: str, pattern: str, carried: int, head):
-    """Packs batches (carried columns, text) into one row per block."""
+def _pack(path: str, pattern: str, carried: int, text_at: int, head):
+    """Packs batches of the carried columns first into one row per block."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
+        lean()
         top = pa.ipc.open_stream(head.value[0]).read_all().column(0).combine_chunks().cast(pa.large_string())
         rows: list[pa.RecordBatch] = []
         held: list[tuple] = []
@@ -267,15 +270,16 @@ def _pack(path: str, pattern: str, carried: int, head):
             held.clear()
             return out
 
-        size = 0
+        size = room = 0
         for batch in batches:
-            texts = batch.column(carried)
+            texts = batch.column(text_at)
             for start, end in slices(texts, 5_000_000):
                 held.append(coded(texts.slice(start, end - start)))
                 rows.append(batch.slice(start, end - start).select(list(range(carried))))
                 size += len(held[-1][0])
-                if size >= BLOCK_WORDS:
-                    size = 0
+                room += rows[-1].nbytes
+                if size >= BLOCK_WORDS or room >= BLOCK_BYTES:
+                    size = room = 0
                     yield close()
         if rows:
             yield close()
@@ -292,7 +296,7 @@ def _unpack(head, finish):
     """Unpacks blocks with their words' token characters into what `finish` makes of (carried columns, ids)."""
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())
+        lean()
         _, top_flat, top_length = head.value
         for batch in batches:
             for r in range(batch.num_rows):
@@ -325,9 +329,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", car
     ship(spark)
     carry = tuple(c for c in df.columns if c != text) if carry is None else carry
     tmp = [f"c{i}" for i in range(len(carry))]
-    plain = df.select(*[F.col(f"`{c}`").alias(t) for c, t in zip(carry, tmp, strict=True)], F.col(f"`{text}`").cast("string").alias("text"))
+    plain = df.select(*[F.col(f"`{c}`").alias(t) for c, t in zip(carry, tmp, strict=True)], *([] if text in carry else [F.col(f"`{text}`").cast("string").alias("text")]))
+    text_at = carry.index(text) if text in carry else len(carry)
     head = spark.sparkContext.broadcast(head_words(df, ranks_path, pattern, text))
-    packed = plain.mapInArrow(_pack(ranks_path, pattern, len(carry), head), PACKED)
+    packed = plain.mapInArrow(_pack(ranks_path, pattern, len(carry), text_at, head), PACKED)
     folded = F.transform("words", lambda w: _folded(spark, ranks_path, w))
     made = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]) if finish is None else T._parse_datatype_string(finish[1])
     kind = T.StructType([*[T.StructField(t, plain.schema[t].dataType) for t in tmp], *[T.StructField(f"m{i}", f.dataType) for i, f in enumerate(made)]])
@@ -386,5 +391,5 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 def encoded_docs(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """docs with their token ids and the number of them, in columns of names that are free."""
     ids, n = free_name(docs.columns, "ids"), free_name(docs.columns, "n_tokens")
-    out = encode(docs.withColumn(free_name(docs.columns, "text_to_encode"), F.col("text")), ranks_path, pattern, text=free_name(docs.columns, "text_to_encode"), carry=tuple(docs.columns), ids=ids)
+    out = encode(docs, ranks_path, pattern, carry=tuple(docs.columns), ids=ids)
     return out.withColumn(n, F.size(ids).cast("bigint"))

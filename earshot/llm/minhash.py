@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.common import arrow, components, cut, free_name, ship
+from earshot.llm.common import arrow, components, cut, free_name, lean, ship
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -172,6 +172,7 @@ SKETCH = "struct<bands:array<bigint>,sig:binary>"
 
 
 def _sketched(texts: pa.Array) -> pa.Array:
+    lean()
     keys, sigs = [], []
     for run in runs([t.as_py() or "" for t in texts]):
         sets = shingle_sets(run)
@@ -195,6 +196,7 @@ def _linked(threshold: float):
     """Keeps the pairs of rows (a, b, ta, tb) whose texts are as similar as the threshold."""
 
     def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         last: tuple = (None, None)
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
@@ -243,6 +245,7 @@ def _remainder(closest: int | None, estimate: float):
         return sorted(out)
 
     def remainder(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         now, held, out = None, [], []
         for batch in batches:
             for g, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):

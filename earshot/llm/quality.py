@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import arrow, free_name, ship
+from earshot.llm.common import arrow, free_name, lean, ship
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -98,6 +98,7 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 
 
 def _measured(texts: pa.Array) -> pa.Array:
+    lean()
     rows = [measure_text(t.as_py()) for t in texts]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(MEASURES)
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(MEASURES))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import arrow, cut, free_name, ship
+from earshot.llm.common import arrow, cut, free_name, lean, ship
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -151,6 +151,7 @@ _FIELDS = ("start", "kind", "end", "secret", "t_start", "t_end", "t_class", "t_b
 
 
 def _scanned(texts: pa.Array) -> pa.Array:
+    lean()
     columns: list[list] = [[] for _ in _FIELDS]
     for t in texts:
         spans, tests = scan(t.as_py())
