@@ -60,6 +60,10 @@ class Spark:
     def explode(self, v: str, pos: str, val: str, frame: str, keep: str) -> str:
         return f"SELECT {keep}, CAST(p AS INT) AS {pos}, CAST(x AS DOUBLE) AS {val} FROM {frame} LATERAL VIEW posexplode({v}) AS p, x"
 
+    def pair(self, a: str, x: str, b: str, y: str) -> str:
+        """A struct of two fields, ordered by the first and then the second."""
+        return f"named_struct('{a}', {x}, '{b}', {y})"
+
     def collect(self, val: str, pos: str) -> str:
         return f"transform(array_sort(collect_list(struct({pos} AS p, {val} AS x))), s -> s.x)"
 
@@ -120,6 +124,9 @@ class DuckDB:
     def explode(self, v: str, pos: str, val: str, frame: str, keep: str) -> str:
         return f"SELECT {keep}, CAST(unnest(range(len({v}))) AS INT) AS {pos}, CAST(unnest({v}) AS DOUBLE) AS {val} FROM {frame}"
 
+    def pair(self, a: str, x: str, b: str, y: str) -> str:
+        return f"struct_pack({a} := {x}, {b} := {y})"
+
     def collect(self, val: str, pos: str) -> str:
         return f"list({val} ORDER BY {pos})"
 

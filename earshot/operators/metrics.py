@@ -83,14 +83,11 @@ def met_novelty(d):
     return "SELECT scorer, round(avg(x), 6) AS novelty FROM (SELECT l.scorer, l.usr, avg(1e0 * p.place / p.m) AS x FROM lists AS l JOIN item_places AS p ON l.item = p.item WHERE l.rank0 < 20 GROUP BY l.scorer, l.usr) AS y GROUP BY scorer"
 
 
-@frame
-def vector_pairs(d):
-    return f"SELECT a.item AS a, b.item AS b, {d.dot('a.v', 'b.v')} AS cosine FROM unit_vectors AS a JOIN unit_vectors AS b ON a.item < b.item"
-
-
 @query
 def met_diversity(d):
-    return "SELECT scorer, round(avg(x), 6) AS mean_cosine FROM (SELECT a.scorer, a.usr, avg(p.cosine) AS x FROM lists AS a JOIN lists AS b ON a.scorer = b.scorer AND a.usr = b.usr AND a.item < b.item JOIN vector_pairs AS p ON p.a = a.item AND p.b = b.item WHERE a.rank0 < 20 AND b.rank0 < 20 GROUP BY a.scorer, a.usr) AS y GROUP BY scorer"
+    """Mean cosine of the pairs in a list, from the square of the vectors' sum: no pair is formed."""
+    sums = "SELECT l.scorer, l.usr, p.pos, sum(p.x) AS x, sum(p.x * p.x) AS xx, count(*) AS n FROM lists AS l JOIN unit_parts AS p ON l.item = p.item WHERE l.rank0 < 20 GROUP BY l.scorer, l.usr, p.pos"
+    return f"SELECT scorer, round(avg(c), 6) AS mean_cosine FROM (SELECT scorer, usr, (sum(x * x) - sum(xx)) / (max(n) * (max(n) - 1e0)) AS c FROM ({sums}) AS s WHERE n > 1 GROUP BY scorer, usr) AS y GROUP BY scorer"
 
 
 @frame

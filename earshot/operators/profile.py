@@ -80,7 +80,7 @@ def srv_context_weight(d):
 
 @frame
 def catalogue(d):
-    return f"SELECT CAST(vec_id AS INT) AS item, {d.scale('embedding')} AS v FROM embeddings WHERE vec_id < 100"
+    return f"SELECT CAST(vec_id AS INT) AS item, {d.scale('embedding')} AS v FROM embeddings"
 
 
 @frame

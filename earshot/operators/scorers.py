@@ -47,10 +47,11 @@ for days in (7, 30, 90, 365):
 
 
 def popularity(counts: str) -> str:
-    return f"SELECT c.usr, p.item, CAST(p.n AS DOUBLE) AS score FROM cohort AS c JOIN ({counts}) AS p ON 1 = 1 WHERE p.item IN (SELECT item FROM vocab_train)"
+    return f"SELECT c.usr, p.item, CAST(p.n AS DOUBLE) AS score FROM cohort AS c JOIN ({counts}) AS p ON 1 = 1"
 
 
-TOP_ITEMS = "SELECT item, n FROM ({}) AS y ORDER BY n DESC, item LIMIT 100"
+#: The top of a popularity list that a user's list can reach; what can't be listed is left out before.
+TOP_ITEMS = "SELECT item, n FROM ({}) AS y WHERE item IN (SELECT item FROM vocab_train) ORDER BY n DESC, item LIMIT 100"
 scorer("popularity", lambda d: popularity(TOP_ITEMS.format("SELECT item, n FROM vocab_all")))
 scorer("popularity_train", lambda d: popularity(TOP_ITEMS.format("SELECT item, count(*) AS n FROM history GROUP BY item")))
 scorer("popularity_train_global", lambda d: popularity(TOP_ITEMS.format("SELECT item, n FROM vocab_train")))
@@ -118,9 +119,18 @@ scorer("rrf_fusion", lambda d: fused())
 scorer("weighted_rrf_07", lambda d: fused("0.7e0"))
 
 
+@frame
+def popular_first(d):
+    """The items that can follow a short history: one of fewer than K items needs places up to 2 K at most."""
+    return f"SELECT item, n, row_number() OVER (ORDER BY n DESC, item) AS place FROM (SELECT item, n FROM vocab_train ORDER BY n DESC, item LIMIT {2 * K}) AS v"
+
+
 @frame
 def remaining_catalogue(d):
-    return "SELECT c.usr, p.item, p.n FROM cohort AS c JOIN (SELECT item, n FROM vocab_train) AS p ON 1 = 1 LEFT JOIN (SELECT DISTINCT usr, item FROM history) AS h ON h.usr = c.usr AND h.item = p.item WHERE h.item IS NULL"
+    """Catalogue items that a user with fewer than K own items lacks, joined by place, so rows are at most 2 K a user."""
+    own = f"SELECT usr, count(DISTINCT item) AS m FROM history GROUP BY usr HAVING count(DISTINCT item) < {K}"
+    places = f"SELECT o.usr, i.i + 1 AS place FROM ({own}) AS o JOIN ({d.range_rows('i', 2 * K)}) AS i ON i.i < {K} + o.m"
+    return f"SELECT c.usr, p.item, p.n FROM ({places}) AS c JOIN popular_first AS p ON p.place = c.place LEFT JOIN (SELECT DISTINCT usr, item FROM history) AS h ON h.usr = c.usr AND h.item = p.item WHERE h.item IS NULL"
 
 
 @query

@@ -1,41 +1,72 @@
 """Vector search and product quantization over item embeddings.
 
-Codebooks are a table (subspace, code, centroid) of bounded size. The queries use a deterministic codebook: centroid c of
-a subspace is the part of the c-th embedding, so every engine has the same.
+All embeddings are coded. The codebooks, a table (subspace, code, centroid) of bounded size, are fitted by Lloyd's
+iterations over all of them, from seeded rows; sums are rounded, so every engine has the same. Searches take every row
+whose id is divisible by 100 as a query, against all rows.
 """
 
 from __future__ import annotations
 
-from earshot.plans.catalog import frame, query
+from earshot.plans.catalog import FRAMES, frame, query
 
-DIM, SUBSPACES, CODES = 64, 8, 16
+DIM, SUBSPACES, CODES, ITERATIONS = 64, 8, 16, 3
 WIDTH = DIM // SUBSPACES
+#: Nearest rows that a search lists, and what divides the ids of queries.
+NEAREST, EACH = 10, 100
 
 
 @frame
 def raw_vectors(d):
-    return f"SELECT CAST(vec_id AS INT) AS item, {d.scale('embedding')} AS v FROM embeddings WHERE vec_id < 200"
+    return f"SELECT CAST(vec_id AS INT) AS item, {d.scale('embedding')} AS v FROM embeddings"
 
 
 @frame
-def codebooks(d):
-    return f"SELECT s.s AS subspace, r.item AS code, {d.part('r.v', f's.s * {WIDTH} + 1', WIDTH)} AS centroid FROM raw_vectors AS r JOIN ({d.range_rows('s', SUBSPACES)}) AS s ON 1 = 1 WHERE r.item < {CODES}"
+def subvectors(d):
+    return f"SELECT r.item, s.s AS subspace, {d.part('r.v', f's.s * {WIDTH} + 1', WIDTH)} AS v FROM raw_vectors AS r JOIN ({d.range_rows('s', SUBSPACES)}) AS s ON 1 = 1"
 
 
 @frame
-def subvectors(d):
-    return f"SELECT r.item, s.s AS subspace, {d.part('r.v', f's.s * {WIDTH} + 1', WIDTH)} AS v FROM raw_vectors AS r JOIN ({d.range_rows('s', SUBSPACES)}) AS s ON 1 = 1"
+def codebooks_0(d):
+    """The first centroids: rows in the order of an arithmetic hash."""
+    seeds = f"SELECT vec_id, embedding FROM embeddings ORDER BY {d.mod('vec_id * 7919', 1000003)}, vec_id LIMIT {CODES}"
+    rows = f"SELECT row_number() OVER (ORDER BY {d.mod('vec_id * 7919', 1000003)}, vec_id) - 1 AS code, {d.scale('embedding')} AS v FROM ({seeds}) AS x"
+    return f"SELECT s.s AS subspace, CAST(r.code AS INT) AS code, {d.part('r.v', f's.s * {WIDTH} + 1', WIDTH)} AS centroid FROM ({rows}) AS r JOIN ({d.range_rows('s', SUBSPACES)}) AS s ON 1 = 1"
+
+
+def nearest(d, codebook: str) -> str:
+    """The nearest centroid of each part, the first one at ties: a minimum, so rows are combined before the shuffle."""
+    dist = f"round({d.dot('v.v', 'v.v')} - 2e0 * {d.dot('v.v', 'c.centroid')} + {d.dot('c.centroid', 'c.centroid')}, 12)"
+    pairs = f"SELECT v.item, v.subspace, {d.pair('dist', dist, 'code', 'c.code')} AS p FROM subvectors AS v JOIN {codebook} AS c ON v.subspace = c.subspace"
+    return f"SELECT item, subspace, b.code AS code, b.dist AS dist FROM (SELECT item, subspace, min(p) AS b FROM ({pairs}) AS x GROUP BY item, subspace) AS y"
+
+
+def refined(i: int):
+    """Frame of the centroids after another iteration. A code that no part is nearest to is left out."""
+
+    def text(d):
+        parts = d.explode("v", "pos", "x", "subvectors", "item, subspace")
+        means = f"SELECT n.subspace, n.code, p.pos, round(avg(p.x), 12) AS x FROM ({nearest(d, f'codebooks_{i}')}) AS n JOIN ({parts}) AS p ON n.item = p.item AND n.subspace = p.subspace GROUP BY n.subspace, n.code, p.pos"
+        return f"SELECT subspace, code, {d.collect('x', 'pos')} AS centroid FROM ({means}) AS m GROUP BY subspace, code"
+
+    return text
+
+
+FRAMES |= {f"codebooks_{i + 1}": refined(i) for i in range(ITERATIONS)}
 
 
 @frame
-def distances(d):
-    return f"SELECT v.item, v.subspace, c.code, round({d.dot('v.v', 'v.v')} - 2e0 * {d.dot('v.v', 'c.centroid')} + {d.dot('c.centroid', 'c.centroid')}, 12) AS dist FROM subvectors AS v JOIN codebooks AS c ON v.subspace = c.subspace"
+def codebooks(d):
+    return f"SELECT subspace, code, centroid FROM codebooks_{ITERATIONS}"
+
+
+@query
+def pq_codebooks(d):
+    return f"SELECT subspace, code, pos, round(x, 9) AS x FROM ({d.explode('centroid', 'pos', 'x', 'codebooks', 'subspace, code')}) AS y"
 
 
 @frame
 def pq_codes(d):
-    """The nearest centroid of each part; the first wins ties."""
-    return "SELECT item, subspace, code, dist FROM (SELECT *, row_number() OVER (PARTITION BY item, subspace ORDER BY dist, code) AS k FROM distances) AS x WHERE k = 1"
+    return nearest(d, "codebooks")
 
 
 @query
@@ -60,13 +91,13 @@ def pq_norms(d):
 
 @query
 def pq_mse(d):
-    return f"SELECT round(sum(greatest(dist, 0e0)) / (count(DISTINCT item) * {DIM}), 9) AS mse, round({DIM} * 4e0 / {SUBSPACES}, 2) AS compression FROM pq_codes"
+    return f"SELECT round(sum(greatest(dist, 0e0)) / (count(*) / {SUBSPACES}e0 * {DIM}), 9) AS mse, round({DIM} * 4e0 / {SUBSPACES}, 2) AS compression FROM pq_codes"
 
 
 @frame
 def lookup(d):
     """Asymmetric distances: one small table per query vector, of subspaces x codes."""
-    return f"SELECT q.item AS query_id, c.subspace, c.code, {d.dot('q.v', 'c.centroid')} AS x FROM subvectors AS q JOIN codebooks AS c ON q.subspace = c.subspace WHERE q.item < 20"
+    return f"SELECT q.item AS query_id, c.subspace, c.code, {d.dot('q.v', 'c.centroid')} AS x FROM subvectors AS q JOIN codebooks AS c ON q.subspace = c.subspace WHERE {d.mod('q.item', EACH)} = 0"
 
 
 @frame
@@ -81,10 +112,10 @@ def pq_adc_dot(d):
 
 @frame
 def exact(d):
-    return f"SELECT q.item AS query_id, r.item, round({d.dot('q.v', 'r.v')}, 9) AS score FROM raw_vectors AS q JOIN raw_vectors AS r ON 1 = 1 WHERE q.item < 20"
+    return f"SELECT q.item AS query_id, r.item, round({d.dot('q.v', 'r.v')}, 9) AS score FROM raw_vectors AS q JOIN raw_vectors AS r ON 1 = 1 WHERE {d.mod('q.item', EACH)} = 0"
 
 
-def top(source: str, where: str = "1 = 1", k: int = 10) -> str:
+def top(source: str, where: str = "1 = 1", k: int = NEAREST) -> str:
     return f"SELECT query_id, item, score, rnk FROM (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rnk FROM {source} WHERE {where}) AS x WHERE rnk <= {k}"
 
 
@@ -100,7 +131,7 @@ def vec_neighbors(d):
 
 @query
 def pq_ann_recall(d):
-    return f"SELECT round(1e0 * count(*) / (20 * 10), 6) AS recall FROM ({top('exact')}) AS a JOIN ({top('adc')}) AS b ON a.query_id = b.query_id AND a.item = b.item"
+    return f"SELECT round(1e0 * count(*) / (SELECT count(*) FROM ({top('exact')}) AS t), 6) AS recall FROM ({top('exact')}) AS a JOIN ({top('adc')}) AS b ON a.query_id = b.query_id AND a.item = b.item"
 
 
 @query
