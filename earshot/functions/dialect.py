@@ -17,6 +17,10 @@ class Spark:
     def dot(self, a: str, b: str) -> str:
         return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0e0, (s, x) -> s + x)"
 
+    def flat_dot(self, a: str, b: str, n: int) -> str:
+        """The product of two arrays of n doubles, written out, so that it is compiled rather than interpreted."""
+        return "(" + " + ".join(f"get({a}, {i}) * get({b}, {i})" for i in range(n)) + ")"
+
     def percentile(self, x: str, p: float) -> str:
         return f"percentile({x}, {p}e0)"
 
@@ -82,6 +86,9 @@ class DuckDB:
     def dot(self, a: str, b: str) -> str:
         return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
+    def flat_dot(self, a: str, b: str, n: int) -> str:
+        return self.dot(a, b)
+
     def percentile(self, x: str, p: float) -> str:
         return f"quantile_cont({x}, {p})"
 

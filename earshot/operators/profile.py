@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from earshot.operators.scorers import against_all
 from earshot.plans.catalog import frame, query
 
 #: Weight of each signal, half-life, blend weights, least and most items of a contribution.
@@ -102,10 +103,10 @@ def srv_taste_center(d):
 
 @frame
 def discovery(d):
-    """Cosine of each user's taste and each item. Items are joined by dimension, so no pair is formed that isn't summed."""
-    return """SELECT t.usr, p.item, sum(t.x * p.x) / (max(n.norm) * max(q.norm) + 1e-12) AS score FROM taste AS t JOIN catalogue_parts AS p ON t.pos = p.pos
-  JOIN (SELECT usr, sqrt(sum(x * x)) AS norm FROM taste GROUP BY usr) AS n ON n.usr = t.usr
-  JOIN (SELECT item, sqrt(sum(x * x)) AS norm FROM catalogue_parts GROUP BY item) AS q ON q.item = p.item GROUP BY t.usr, p.item"""
+    """Cosine of each user's taste and each item."""
+    users = f"SELECT usr, {d.collect('x', 'pos')} AS v, sqrt(sum(x * x)) AS norm FROM taste GROUP BY usr"
+    items = f"SELECT item, v, sqrt({d.dot('v', 'v')}) AS norm FROM catalogue"
+    return against_all(d, users, "u.usr, i.item", items, f"{d.dot('u.v', 'i.v')} / (u.norm * i.norm + 1e-12)")
 
 
 def min_max(x: str) -> str:

@@ -9,6 +9,8 @@ K = 20
 AGE = "((last_ts - ts) / 86400e0)"
 LN2 = "0.6931471805599453e0"
 RRF = 60
+#: Dimensions of the item embeddings.
+DIM = 64
 
 
 def decay(weight: str, source: str = "history") -> str:
@@ -68,20 +70,33 @@ def unit_parts(d):
     return d.explode("v", "pos", "x", "unit_vectors", "item")
 
 
-def context(weight: str, where: str, source: str = "history") -> str:
+#: Users are scored against all items in a grid of item blocks by user groups; a cell is a task's work.
+BLOCKS, GROUPS = 8, 16
+
+
+def against_all(d, users: str, columns: str, items: str, score: str) -> str:
+    """Scores of every user (u.v) and item (i.v), by an equi-join on the cell of the grid.
+
+    The hint fixes the number of partitions: what a cell reads is small, so adaptive execution would join cells again,
+    but what it computes isn't.
+    """
+    each = f"SELECT /*+ REPARTITION({BLOCKS * GROUPS}, block, grp) */ w.*, {d.mod('w.usr', GROUPS)} AS grp, b.block FROM ({users}) AS w JOIN ({d.range_rows('block', BLOCKS)}) AS b ON 1 = 1"
+    dealt = f"SELECT z.*, {d.mod('z.item', BLOCKS)} AS block, g.grp FROM ({items}) AS z JOIN ({d.range_rows('grp', GROUPS)}) AS g ON 1 = 1"
+    return f"SELECT {columns}, {score} AS score FROM ({each}) AS u JOIN ({dealt}) AS i ON u.block = i.block AND u.grp = i.grp"
+
+
+def context(d, weight: str, where: str, source: str = "history") -> str:
     """Weighted mean vector of the chosen events per user, normalised, against every item."""
-    return f"""SELECT m.usr, u.item, round(sum(m.x * u.x) / (max(z.norm) + 1e-8), 9) AS score FROM
-  (SELECT h.usr, p.pos, sum(h.w * p.x) / sum(h.w) AS x FROM (SELECT usr, item, {weight} AS w FROM {source} WHERE {where}) AS h JOIN unit_parts AS p ON h.item = p.item GROUP BY h.usr, p.pos) AS m
-  JOIN unit_parts AS u ON m.pos = u.pos
-  JOIN (SELECT usr, sqrt(sum(x * x)) AS norm FROM (SELECT h.usr, p.pos, sum(h.w * p.x) / sum(h.w) AS x FROM (SELECT usr, item, {weight} AS w FROM {source} WHERE {where}) AS h JOIN unit_parts AS p ON h.item = p.item GROUP BY h.usr, p.pos) AS q GROUP BY usr) AS z ON z.usr = m.usr
-  GROUP BY m.usr, u.item"""
-
-
-scorer("item2vec", lambda d: context("1e0", "back <= 50"))
-scorer("item2vec_w10", lambda d: context("1e0", "back <= 10"))
-scorer("item2vec_w100", lambda d: context("1e0", "back <= 100"))
-scorer("item2vec_unique", lambda d: context("1e0", "1 = 1", "(SELECT DISTINCT usr, item FROM history WHERE back <= 50)"))
-scorer("item2vec_recency", lambda d: context(f"exp(-{LN2} * {AGE} / 90e0)", "back <= 50"))
+    means = f"SELECT h.usr, p.pos, sum(h.w * p.x) / sum(h.w) AS x FROM (SELECT usr, item, {weight} AS w FROM {source} WHERE {where}) AS h JOIN unit_parts AS p ON h.item = p.item GROUP BY h.usr, p.pos"
+    users = f"SELECT usr, {d.collect('x', 'pos')} AS v, sqrt(sum(x * x)) AS norm FROM ({means}) AS m GROUP BY usr"
+    return against_all(d, users, "u.usr, i.item", "SELECT item, v FROM unit_vectors", f"round({d.dot('u.v', 'i.v')} / (u.norm + 1e-8), 9)")
+
+
+scorer("item2vec", lambda d: context(d, "1e0", "back <= 50"))
+scorer("item2vec_w10", lambda d: context(d, "1e0", "back <= 10"))
+scorer("item2vec_w100", lambda d: context(d, "1e0", "back <= 100"))
+scorer("item2vec_unique", lambda d: context(d, "1e0", "1 = 1", "(SELECT DISTINCT usr, item FROM history WHERE back <= 50)"))
+scorer("item2vec_recency", lambda d: context(d, f"exp(-{LN2} * {AGE} / 90e0)", "back <= 50"))
 
 
 @frame

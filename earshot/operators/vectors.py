@@ -7,9 +7,10 @@ whose id is divisible by 100 as a query, against all rows.
 
 from __future__ import annotations
 
+from earshot.operators.scorers import DIM
 from earshot.plans.catalog import FRAMES, frame, query
 
-DIM, SUBSPACES, CODES, ITERATIONS = 64, 8, 16, 3
+SUBSPACES, CODES, ITERATIONS = 8, 16, 3
 WIDTH = DIM // SUBSPACES
 #: Nearest rows that a search lists, and what divides the ids of queries.
 NEAREST, EACH = 10, 100
@@ -35,7 +36,7 @@ def codebooks_0(d):
 
 def nearest(d, codebook: str) -> str:
     """The nearest centroid of each part, the first one at ties: a minimum, so rows are combined before the shuffle."""
-    dist = f"round({d.dot('v.v', 'v.v')} - 2e0 * {d.dot('v.v', 'c.centroid')} + {d.dot('c.centroid', 'c.centroid')}, 12)"
+    dist = f"round({d.flat_dot('v.v', 'v.v', WIDTH)} - 2e0 * {d.flat_dot('v.v', 'c.centroid', WIDTH)} + {d.flat_dot('c.centroid', 'c.centroid', WIDTH)}, 12)"
     pairs = f"SELECT v.item, v.subspace, {d.pair('dist', dist, 'code', 'c.code')} AS p FROM subvectors AS v JOIN {codebook} AS c ON v.subspace = c.subspace"
     return f"SELECT item, subspace, b.code AS code, b.dist AS dist FROM (SELECT item, subspace, min(p) AS b FROM ({pairs}) AS x GROUP BY item, subspace) AS y"
 
@@ -97,7 +98,7 @@ def pq_mse(d):
 @frame
 def lookup(d):
     """Asymmetric distances: one small table per query vector, of subspaces x codes."""
-    return f"SELECT q.item AS query_id, c.subspace, c.code, {d.dot('q.v', 'c.centroid')} AS x FROM subvectors AS q JOIN codebooks AS c ON q.subspace = c.subspace WHERE {d.mod('q.item', EACH)} = 0"
+    return f"SELECT q.item AS query_id, c.subspace, c.code, {d.flat_dot('q.v', 'c.centroid', WIDTH)} AS x FROM subvectors AS q JOIN codebooks AS c ON q.subspace = c.subspace WHERE {d.mod('q.item', EACH)} = 0"
 
 
 @frame
