@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -197,6 +198,21 @@ def test_licenses(docs, empty):
     assert not re.search("Python|Arrow|Exchange", plan)
 
 
+def test_licenses_wrapped_or_within_other_text(spark):
+    full = dict(licenses.full_texts())
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and t.startswith("This program"))
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 Someone\n\n" + textwrap.fill(" ".join(full["MIT"].split()), 78),
+        "The tables of this book and all that belongs to them are public. " + gpl + " See the appendix for more words on that, on this and on what else there is.",
+        "a story\nReleased under the\nMIT License.\nmore words follow here in prose",
+        "Prose before it.\n" + full["Apache-2.0"] + "\nProse after it.",
+        full["BSD-2-Clause"],
+        "The terms of the licence and the conditions of use are in the office under the stairs.",
+    ]
+    got = [tuple(r)[1:] for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert got == [(1, "MIT", 1.0, 4), (1, "GPL-3.0", 1.0, 0), (1, "MIT", 1.0, 1), (1, "Apache-2.0", 1.0, 1), (1, "BSD-2-Clause", 1.0, 0), (0, None, None, None)]
+
+
 def exact_classes(rows, threshold=0.8):
     sets = []
     for _, text in rows:
