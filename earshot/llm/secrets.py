@@ -1,7 +1,9 @@
 """Operator 6: secrets by fixed patterns and by a battery of randomness tests.
 
 The patterns (assign, access, hex) give base spans. The battery looks at every maximal token of the base64 alphabets of
-at least LEAST characters that no base span touches. The encoding is inferred from the characters seen. Three tests ask
+at least LEAST characters, cut where base spans are; '=' is part of a token only as padding at its end. A token of no
+common alphabet, or one that isn't random as a whole, is split at '/' and '+', at '-' and '_', or at all four; the split
+with the least p-value counts, times the number of splits. The encoding is inferred from the characters seen. Three tests ask
 how likely a structured token (a word, an identifier, a number) would look that random: the chi-squared statistic of
 alphabet uniformity against its non-central distribution under structure (so length counts), the runs of character
 classes against a binomial with fewer changes, and the lag-1 serial correlation of the alphabet's positions against a
@@ -42,7 +44,9 @@ CLASSES = (20, 24, 32, 48, 80)
 #: Bins of -log10 p: width and number; the last holds all beyond.
 BIN, BINS = 0.25, 160
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % (LEAST - 2))
+#: Parts between separators: no common alphabet has '/' or '+' and '-' or '_'.
+PARTS = tuple(re.compile(r"[^%s]{%d,}" % (x, LEAST - 2)) for x in ("/+", "_-", "/+_-"))
 
 #: Encodings: name, alphabet, excess of structured text over uniformity (sum p^2 * size - 1) at least.
 ENCODINGS = (
@@ -128,6 +132,24 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def tested(token: str, at: int) -> list[tuple[int, int, int, int]]:
+    """Candidates (start, end, length class, bin of p) of a token that starts at a place, or of its parts."""
+    if len(token) < LEAST:
+        return []
+    name, structured, random = battery(token)
+    if name and random >= RANDOM_P:
+        return [(at, at + len(token), class_of(len(token)), bin_of(structured))]
+    best, least = [], 2.0
+    for parts in PARTS:
+        found = [(m, *battery(m[0])) for m in parts.finditer(token) if LEAST <= len(m[0]) < len(token)]
+        p = min((s if r >= RANDOM_P else 1.0 for _, _, s, r in found), default=2.0)
+        if p < least:
+            best, least = found, p
+    if not best:
+        return [(at, at + len(token), class_of(len(token)), 0)]
+    return [(at + m.start(), at + m.end(), class_of(len(m[0])), bin_of(min(1.0, len(PARTS) * s)) if r >= RANDOM_P else 0) for m, _, s, r in best]
+
+
 def scan(text: str | None) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
     """Base spans, and candidates of the battery: (start, end, length class, bin of p)."""
     if not text:
@@ -138,11 +160,12 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int, int]], list[tuple[
         spans += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
         taken = sorted((s, e) for s, _, e, _ in spans)
         for m in TOKEN.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e in taken):
-                continue
-            _, structured, random = battery(m[0])
-            fit = random >= RANDOM_P
-            tests.append((m.start(), m.end(), class_of(len(m[0])), bin_of(structured) if fit else 0))
+            at = m.start()
+            for start, end in taken:
+                if start < m.end() and at < end:
+                    tests += tested(text[at:start], at)
+                    at = max(at, end)
+            tests += tested(text[at : m.end()], at)
     return sorted(spans), tests
 
 
