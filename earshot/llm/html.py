@@ -252,10 +252,9 @@ def region(blocks: list[list], chosen: np.ndarray) -> Element:
             return at
         if at.tag == "article" or (at.tag == "main" and to.tag != "article"):
             return at
-        if to.tag not in ("article", "main"):
-            for b, path in zip(blocks, paths, strict=True):
-                if path[depth : depth + 1] == [at] and not (len(path) > depth + 1 and path[depth + 1] is to) and not b[4] and b[3].tag in ("h1", "h2"):
-                    return at
+        for b, path in zip(blocks, paths, strict=True):
+            if path[depth : depth + 1] == [at] and not (len(path) > depth + 1 and path[depth + 1] is to) and not b[4] and b[3].tag in ("h1", "h2"):
+                return at
         at, depth = to, depth + 1
 
 
@@ -278,14 +277,18 @@ def main_text(html: str | None) -> str:
         return ""
     within = region(blocks, chosen)
     loose = within.tag not in ("article", "main")
-    out = []
+    keep = []
     for b, c in zip(blocks, chosen, strict=True):
         at = b[3]
         while at is not None and at is not within:
             at = at.parent
-        if at is None or b[4] or (loose and not c and 2 * b[2] > len(b[0])):
-            continue
-        out.append(b[0])
+        # what the clustering chose stays even outside the region
+        keep.append(not b[4] and (bool(c) or (at is not None and not (loose and 2 * b[2] > len(b[0])))))
+    # and so do the headings before a kept block
+    for i in range(len(blocks) - 2, -1, -1):
+        b = blocks[i]
+        keep[i] = keep[i] or (b[3].tag in HEADINGS and not b[4] and 2 * b[2] <= len(b[0]) and keep[i + 1])
+    out = [b[0] for b, k in zip(blocks, keep, strict=True) if k]
     return "\n".join(out)
 
 

@@ -115,6 +115,18 @@ def test_main_text(spark):
     assert [r.n_chars for r in html.page_texts(pages).orderBy("page_id").collect()][1] == 0
 
 
+def test_main_text_outside_the_largest_part():
+    story, intro = "A long sentence of the story goes on here. " * 30, "The intro says in some words what the story is about. " * 3
+    head = "<html><body><nav><a href=x>Home</a></nav>"
+    end = "<footer>(c)</footer></body></html>"
+    first = f"{head}<main><h1>Title</h1><p>{intro}</p><article><p>{story}</p><p>{story}</p></article></main>{end}"
+    assert html.main_text(first) == "\n".join(["Title", intro.strip(), story.strip(), story.strip()])
+    second = f"{head}<div><p>{intro}</p><div class=text><p>{story}</p><p>{story}</p></div></div>{end}"
+    assert html.main_text(second) == "\n".join([intro.strip(), story.strip(), story.strip()])
+    third = f"{head}<div><div><p>{story}</p><p>{story}</p></div><div><h3>Part</h3><p>{intro}</p></div></div>{end}"
+    assert html.main_text(third) == "\n".join([story.strip(), story.strip(), "Part", intro.strip()])
+
+
 def test_bpe(docs, empty):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
