@@ -10,29 +10,18 @@ Items are named by their dense place in the vocabulary, 0 to n - 1.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.plans import catalog
+from earshot.plans.scratch import discard, written as kept
 
 DIM, NEGATIVES, STEPS = 64, 5, 4
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder, a local one only where none is set."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/checkpoints"
-    path = f"{root}/earshot/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drawn(name: str, dim: int) -> Column:
     """The first vector of an id: hashed numbers between -0.5 and 0.5, over the dimension."""
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: (F.pmod(F.xxhash64(F.lit(name), "id", j), F.lit(1 << 30)) / float(1 << 30) - 0.5) / dim)
