@@ -11,20 +11,24 @@ The sample only decides what is folded once: ids don't depend on it.
 
 A word in the fold is a string of one character per token (code point id + 256, past the surrogates), at first one per
 byte. The literal maps every two-character string whose bytes form a token to that token's character, in slots by hash,
-so a look-up reads one short map. Each step merges the leftmost pair of lowest rank, as the rank file defines it.
+so a look-up reads one short map. Each step merges the leftmost pair of lowest rank, as the rank file defines it, and
+with it all equal pairs where that gives the same: where no other pair has this rank and the new token is part of no
+token of lower rank, so that nothing could come between. A step so takes a rank, not a place, and long words need few.
+
+Words over LONG bytes are first cut where no token crosses (between two bytes that stand side by side in no token), at
+which no merge can cross either; the parts are folded as all words are.
 
 Decoding concatenates the ids' binary pieces.
 
-Cases: a null or empty text has no ids and decodes to an empty string; texts of any length are encoded whole (words
-over LONG bytes, for which a fold would be quadratic, are merged with a heap); repeated rows are encoded alike; an empty
-table gives no rows; the other columns asked for, whatever their names, are carried along.
+Cases: a null or empty text has no ids and decodes to an empty string; texts and words of any length are encoded whole;
+repeated rows are encoded alike; an empty table gives no rows; the other columns asked for, whatever their names, are
+carried along.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -43,7 +47,7 @@ SLOTS = 1 << 17
 BLOCK_WORDS = 6_000_000
 #: Bytes of carried columns, at which it is closed too.
 BLOCK_BYTES = 5_000_000
-#: Bytes from which on a word is merged with a heap.
+#: Bytes from which on a word is cut where no token crosses, and doesn't enter the head.
 LONG = 256
 #: Rows of the sample, and words of the head (at most HEAD * LONG bytes, in fact some MB).
 SAMPLE, HEAD = 24_000, 400_000
@@ -78,90 +82,104 @@ def slot(pair: Column) -> Column:
     return F.hash(pair).bitwiseAND(F.lit(SLOTS - 1))
 
 
-_literals: dict[tuple[str, str], Column] = {}
+_literals: dict[tuple[str, str], tuple[Column, Column]] = {}
+
+
+def literal(spark: SparkSession, value, kind: T.DataType) -> Column:
+    """A literal of any type and size."""
+    from pyspark.sql.classic.column import Column as Classic
+
+    row = spark.createDataFrame([(value,)], T.StructType([T.StructField("x", kind)]))._jdf
+    first = row.queryExecution().executedPlan().executeCollect()[0]
+    jvm, of = spark._jvm, row.schema().apply(0).dataType()
+    return Classic(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(first.get(0, of), of)))
 
 
-def rank_literal(spark: SparkSession, path: str) -> Column:
-    """The rank map as a literal array of maps, by slot."""
+def rank_literals(spark: SparkSession, path: str) -> tuple[Column, Column]:
+    """The rank map as a literal array of maps, by slot; and by code point whether a token is part of one of lower rank."""
     key = (spark.sparkContext.applicationId, path)
     if key not in _literals:
         import pandas as pd
 
-        rows = spark.createDataFrame(pd.DataFrame(pairs(load_ranks(path)), columns=["pair", "token"]))
+        found = pairs(load_ranks(path))
+        rows = spark.createDataFrame(pd.DataFrame(found, columns=["pair", "token"]))
         slots: list[dict | None] = [None] * SLOTS
         for pair, token, at in rows.select("pair", "token", slot(F.col("pair"))).toPandas().itertuples(index=False):
             if slots[at] is None:
                 slots[at] = {}
             slots[at][pair] = token
-        kind = T.StructType([T.StructField("slots", T.ArrayType(T.MapType(T.StringType(), T.StringType())))])
-        row = spark.createDataFrame([(slots,)], kind)._jdf
-        value = row.queryExecution().executedPlan().executeCollect()[0].getArray(0)
-        jvm = spark._jvm
-        literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(value, row.schema().apply(0).dataType())
-        from pyspark.sql.classic.column import Column as Classic
-
-        _literals[key] = Classic(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+        early = [False] * (max((ord(token) for _, token in found), default=0) + 1)
+        for pair, token in found:
+            for part in pair:
+                # characters sort as ranks do
+                if part > token:
+                    early[ord(part)] = True
+        _literals[key] = literal(spark, slots, T.ArrayType(T.MapType(T.StringType(), T.StringType()))), literal(spark, early, T.ArrayType(T.BooleanType()))
     return _literals[key]
 
 
-def fold_merges(word: Column, slots: Column, bytes_from: str, bytes_to: str) -> Column:
+def bound(x: Column, f) -> Column:
+    """f of x, with x computed once: a one-element transform names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def fold_merges(word: Column, slots: Column, early: Column, bytes_from: str, bytes_to: str) -> Column:
     """The token characters of a binary word: a fold of the merge step over its length."""
     start = F.translate(F.decode(word, "ISO-8859-1"), bytes_from, bytes_to)
-    rest = F.lit(1 << 30)
-
-    done = F.lit("!")
+    rest, done = F.lit(1 << 30), F.lit("!")
 
     def step(s: Column, _: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.char_length(s) - 1, F.lit(1)))
-        found = F.transform(F.transform(places, lambda i: F.substring(s, i, F.lit(2))), lambda pair: F.get(slots, slot(pair))[pair])
-
-        # one-element transforms name the list and its minimum, so that they are computed once
-        def merge(found: Column) -> Column:
+        def merge(two: Column, found: Column) -> Column:
             # token characters sort as their ranks do; the position is the leftmost of the lowest
             def at_lowest(lowest: Column) -> Column:
                 at = F.array_position(found, lowest).cast("int")
-                return F.when(lowest.isNull(), F.concat(done, s)).otherwise(F.concat(F.substring(s, F.lit(1), at - 1), lowest, F.substring(s, at + 2, rest)))
+                one = F.concat(F.substring(s, F.lit(1), at - 1), lowest, F.substring(s, at + 2, rest))
+                others = F.exists(F.zip_with(found, two, lambda f, p: (f == lowest) & (p != F.get(two, at - 1))), lambda x: F.coalesce(x, F.lit(False)))
+                alone = F.size(F.array_remove(found, lowest)) == F.size(found) - 1
+                merged = F.when(alone | F.get(early, F.ascii(lowest)) | others, one).otherwise(F.replace(s, F.get(two, at - 1), lowest))
+                return F.when(lowest.isNull(), F.concat(done, s)).otherwise(merged)
 
-            return F.transform(F.array(F.array_min(found)), at_lowest)[0]
+            return bound(F.array_min(found), at_lowest)
+
+        def looked_up(two: Column) -> Column:
+            return bound(F.transform(two, lambda pair: F.get(slots, slot(pair))[pair]), lambda found: merge(two, found))
 
         # a word without a pair left is marked, so the fold's other steps pass it on
-        return F.when(F.startswith(s, done), s).otherwise(F.transform(F.array(found), merge)[0])
+        two = bound(F.split(s, F.lit("")), lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.concat(a, b)))
+        return F.when(F.startswith(s, done), s).otherwise(bound(two, looked_up))
 
     n = F.octet_length(word)
     return F.when(n < 2, start).otherwise(F.replace(F.aggregate(F.sequence(F.lit(2), n), start, step), done, F.lit("")))
 
 
-def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for one long word: a heap of pairs over a linked list."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    heap = [(r, i, 1, 1) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
-    heapq.heapify(heap)
-    n = len(parts)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if not parts[i] or j >= n or len(parts[i]) != a or len(parts[j]) != b:
-            continue
-        parts[i] += parts[j]
-        parts[j] = b""
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            if (r := ranks.get(parts[i] + parts[after[i]])) is not None:
-                heapq.heappush(heap, (r, i, len(parts[i]), len(parts[after[i]])))
-        if (k := before[i]) >= 0 and (r := ranks.get(parts[k] + parts[i])) is not None:
-            heapq.heappush(heap, (r, k, len(parts[k]), len(parts[i])))
-    return [ranks[p] for p in parts if p]
-
-
-def words_of(names: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The distinct words of distinct chunks; and of each chunk how many it has, and their places in that list."""
+@lru_cache(maxsize=4)
+def side_by_side(path: str) -> np.ndarray:
+    """For two bytes, whether they stand side by side in a token."""
+    out = np.zeros((256, 256), bool)
+    for token in load_ranks(path):
+        b = np.frombuffer(token, np.uint8)
+        out[b[:-1], b[1:]] = True
+    return out
+
+
+def parts(word: str, path: str) -> list[str]:
+    """The word, or where it is over LONG bytes its parts between characters that no token spans."""
+    raw = word.encode()
+    if len(raw) <= LONG:
+        return [word]
+    b = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(~side_by_side(path)[b[:-1], b[1:]] & (b[1:] & 0xC0 != 0x80)) + 1
+    return [raw[i:j].decode() for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(raw)], strict=True)]
+
+
+def words_of(names: pa.Array, pattern: str, path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words (or parts of long ones) of distinct chunks; and of each chunk how many it has, and their places in that list."""
     import regex
 
-    one = pc.match_substring_regex(names, _ONE_WORD).to_numpy(zero_copy_only=False)
+    short = pc.less_equal(pc.binary_length(names), LONG)
+    one = pc.and_(short, pc.match_substring_regex(names, _ONE_WORD)).to_numpy(zero_copy_only=False)
     find = regex.compile(pattern).findall
-    split = [find(c) for c in names.filter(pa.array(~one)).to_pylist()]
+    split = [find(c) if len(c) <= LONG // 4 else [p for w in find(c) for p in parts(w, path)] for c in names.filter(pa.array(~one)).to_pylist()]
     count = np.ones(len(names), np.int64)
     count[~one] = [len(x) for x in split]
     many = pa.array([w for x in split for w in x], pa.large_string())
@@ -173,7 +191,7 @@ def words_of(names: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np.nd
     return coded_words.dictionary, count, places
 
 
-def split_words(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray]:
+def split_words(texts: pa.Array, pattern: str, path: str) -> tuple[pa.Array, np.ndarray]:
     """The distinct words of texts, and how often each occurs."""
     names, seen = [], []
     for start, end in slices(texts, 5_000_000):
@@ -182,7 +200,7 @@ def split_words(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray]:
         seen.append(np.bincount(codes, minlength=len(found)))
     chunks = pa.concat_arrays([pa.array([], pa.large_string()), *names]).dictionary_encode()
     times = np.bincount(chunks.indices.to_numpy(), weights=np.concatenate([np.empty(0), *seen]), minlength=len(chunks.dictionary)).astype(np.int64)
-    words, count, places = words_of(chunks.dictionary, pattern)
+    words, count, places = words_of(chunks.dictionary, pattern, path)
     return words, np.bincount(places, weights=np.repeat(times, count), minlength=len(words)).astype(np.int64)
 
 
@@ -197,7 +215,7 @@ def head_words(df: DataFrame, ranks_path: str, pattern: str, text: str, size: in
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in batches:
-            words, n = split_words(batch.column(0), pattern)
+            words, n = split_words(batch.column(0), pattern, ranks_path)
             short = pc.less_equal(pc.binary_length(words), LONG)
             yield pa.RecordBatch.from_arrays([words.filter(short).cast(pa.string()), pa.array(n).filter(short)], names=["word", "n"])
 
@@ -223,10 +241,11 @@ def flat_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _folded(spark: SparkSession, ranks_path: str, word: Column) -> Column:
     ranks = load_ranks(ranks_path)
     octets = [bytes([b]) for b in range(256) if bytes([b]) in ranks]
-    return fold_merges(word, rank_literal(spark, ranks_path), "".join(o.decode("latin-1") for o in octets), "".join(char(ranks[o]) for o in octets))
+    return fold_merges(word, *rank_literals(spark, ranks_path), "".join(o.decode("latin-1") for o in octets), "".join(char(ranks[o]) for o in octets))
+
 
+PACKED = "rows binary, counts binary, places binary, words array<binary>"
 
-PACKED = "rows binary, counts binary, places binary, words array<binary>, long array<string>"
 
 def _pack(path: str, pattern: str, carried: int, text_at: int, head):
     """Packs batches of the carried columns first into one row per block."""
@@ -239,32 +258,26 @@ def _pack(path: str, pattern: str, carried: int, text_at: int, head):
 
         def close() -> pa.RecordBatch:
             names = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
-            words, count, at = words_of(names.dictionary, pattern)
-            # a word's place: in the head, after it among the block's own, or negative among the long ones
+            words, count, at = words_of(names.dictionary, pattern, path)
+            # a word's place: in the head, or after it among the block's own
             known = pc.index_in(words, top)
             place = pc.fill_null(known, 0).to_numpy().astype(np.int32)
-            new = known.is_null().to_numpy(zero_copy_only=False)
-            long = new & (pc.binary_length(words).to_numpy() > LONG)
-            own = new & ~long
+            own = known.is_null().to_numpy(zero_copy_only=False)
             place[own] = len(top) + np.arange(int(own.sum()))
-            place[long] = ~np.arange(int(long.sum()))
             flat, of_name, counts, places, start = place[at], names.indices.to_numpy(), [], [], 0
             for codes, n, found in held:
                 here, n = gather(flat, count, of_name[start : start + len(found)][codes], n)
                 places.append(here.astype("<i4").tobytes())
                 counts.append(n.astype("<i4").tobytes())
                 start += len(found)
-            ranks = load_ranks(path) if long.any() else {}
-            merged = ["".join(map(char, heap_merges(w.encode(), ranks))) for w in words.filter(pa.array(long)).to_pylist()]
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([as_stream(pa.Table.from_batches(rows))], pa.binary()),
                     pa.array([b"".join(counts)], pa.binary()),
                     pa.array([b"".join(places)], pa.binary()),
                     _one_list(words.filter(pa.array(own)).cast(pa.large_binary()).cast(pa.binary())),
-                    pa.array([merged], pa.list_(pa.string())),
                 ],
-                names=["rows", "counts", "places", "words", "long"],
+                names=["rows", "counts", "places", "words"],
             )
             rows.clear()
             held.clear()
@@ -303,8 +316,7 @@ def _unpack(head, finish):
                 table = pa.ipc.open_stream(batch.column("rows")[r].as_buffer()).read_all()
                 counts = np.frombuffer(batch.column("counts")[r].as_py(), "<i4")
                 places = np.frombuffer(batch.column("places")[r].as_py(), "<i4")
-                # the head, the block's words, and the long ones from the end, as their places are negative
-                flat, length = flat_ids(batch.column("tokens")[r].as_py() + batch.column("long")[r].as_py()[::-1])
+                flat, length = flat_ids(batch.column("tokens")[r].as_py())
                 flat, length = np.concatenate([top_flat, flat]), np.concatenate([top_length, length])
                 at, done, ends = 0, 0, np.cumsum(counts, dtype=np.int64)
                 while done < len(counts):
@@ -340,7 +352,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", car
     def last(columns: list[pa.Array], lists: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*columns, *([lists] if finish is None else finish[0](lists))], names=kind.names)
 
-    rows = packed.select("rows", "counts", "places", "long", folded.alias("tokens")).mapInArrow(_unpack(head, last), kind)
+    rows = packed.select("rows", "counts", "places", folded.alias("tokens")).mapInArrow(_unpack(head, last), kind)
     return rows.select(*[F.col(t).alias(c) for c, t in zip(carry, tmp, strict=True)], *[F.col(f"m{i}").alias(f.name) for i, f in enumerate(made)])
 
 
