@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable
 
@@ -14,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.plans.scratch import discard, gathered  # noqa: F401
+from earshot.plans.scratch import new_path as scratch  # noqa: F401
+from earshot.plans.scratch import written as cut
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 _shipped: set[str] = set()
@@ -58,27 +61,6 @@ def lean() -> None:
             ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, which otherwise rises with use
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return shared.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch_root(spark)}/earshot/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(columns: Iterable[str], stem: str) -> str:
     """stem, with underscores in front until no column is called so, in either case."""
     taken = {c.lower() for c in columns}
@@ -111,7 +93,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        before, e = e, cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(before, large)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+    out._scratch_path = e._scratch_path
+    return out

@@ -32,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.common import arrow, components, cut, free_name, lean, ship
+from earshot.llm.common import arrow, components, cut, discard, free_name, lean, ship
 
 WORDS = 5
 THRESHOLD = 0.8
 K, BANDS, ROWS = 256, 32, 4
-#: Signatures below this share of equal coordinates are not verified: four standard deviations under the threshold.
-ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
+#: Pairs of a bucket whose signatures agree in less than the threshold less so many standard deviations aren't verified:
+#: a similar pair falls there with a probability under 1e-8, as seldom as no band of its signatures agrees.
+DEVIATIONS = 6
 #: Nodes of a bucket in one task of the remainder, and the closest nodes it proposes first.
 PART, CLOSEST = 1024, 4
 
@@ -302,28 +303,38 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     edges = verified(stars, "stars")
     found = components(edges)
-    estimate = threshold - 4 * (threshold * (1 - threshold) / K) ** 0.5
+    estimate = threshold - DEVIATIONS * (threshold * (1 - threshold) / K) ** 0.5
+    parts = [edges]
     for closest in (CLOSEST, None):
-        left = open_buckets(members, found, nodes)
-        pairs = left.mapInArrow(_remainder(closest, estimate), "a binary, b binary").distinct()
+        rooted = rooted_members(members, found)
+        pairs = open_buckets(rooted, nodes).mapInArrow(_remainder(closest, estimate), "a binary, b binary").distinct()
         more = verified(pairs, "remainder")
+        discard(rooted)
+        parts.append(more)
         if more.isEmpty():
             continue
         edges = edges.unionByName(more)
-        found = components(edges)
+        before, found = found, components(edges)
+        discard(before)
+    discard(members, texts, *parts)
     rooted = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
     return rooted.join(least, "root").select("node", "root", "class_id", "first")
 
 
-def open_buckets(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (g, node, root, sig, side, band, bands) of the buckets that still hold several components besides their hub.
+def rooted_members(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of the buckets but for the hubs, which have been compared with their whole bucket, and their components."""
+    roots = found.withColumnRenamed("root", "r")
+    rows = members.where("prio <> hub_prio").join(roots, members["node"] == roots["node"], "left")
+    return cut(rows.select("bucket", "band", members["node"], "prio", F.coalesce("r", members["node"]).alias("root")), "rooted")
 
-    A hub has been compared with its whole bucket, so it is left out. A bucket of more than PART nodes is dealt into
-    parts, and each pair of parts is a group; side tells the part, so a pair of parts compares only across.
+
+def open_buckets(rooted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (g, node, root, sig, side, band, bands) of the buckets that still hold several components.
+
+    A bucket of more than PART nodes is dealt into parts, and each pair of parts is a group; side tells the part, so a
+    pair of parts compares only across.
     """
-    rooted = members.where("prio <> hub_prio").join(found.withColumnRenamed("root", "r"), members["node"] == found["node"], "left").select("bucket", "band", members["node"], "prio", F.coalesce("r", members["node"]).alias("root"))
-    rooted = cut(rooted, "rooted")
     marks = rooted.withColumn("h", F.xxhash64("root"))
     still = marks.groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low <> high")
     still = still.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts"))

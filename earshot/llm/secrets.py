@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +151,17 @@ def tested(token: str, at: int) -> list[tuple[int, int, int, int]]:
     return [(at + m.start(), at + m.end(), class_of(len(m[0])), bin_of(min(1.0, len(PARTS) * s)) if r >= RANDOM_P else 0) for m, _, s, r in best]
 
 
+def union(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """The places that spans cover, as disjoint spans in order."""
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def scan(text: str | None) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
     """Base spans, and candidates of the battery: (start, end, length class, bin of p)."""
     if not text:
@@ -158,13 +170,18 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int, int]], list[tuple[
     tests = []
     if max(map(len, text.split()), default=0) >= LEAST:
         spans += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
-        taken = sorted((s, e) for s, _, e, _ in spans)
+        # base spans and tokens are both in order of their starts, so one sweep pairs them
+        taken, k = union((s, e) for s, _, e, _ in spans), 0
         for m in TOKEN.finditer(text):
             at = m.start()
-            for start, end in taken:
-                if start < m.end() and at < end:
-                    tests += tested(text[at:start], at)
-                    at = max(at, end)
+            while k < len(taken) and taken[k][1] <= at:
+                k += 1
+            while k < len(taken) and taken[k][0] < m.end():
+                tests += tested(text[at : taken[k][0]], at)
+                at = taken[k][1]
+                if at >= m.end():
+                    break
+                k += 1
             tests += tested(text[at : m.end()], at)
     return sorted(spans), tests
 
@@ -256,9 +273,15 @@ MASK = "[SECRET]"
 
 
 def masked_docs(docs: DataFrame, q: float = Q) -> DataFrame:
-    """docs with every secret in its text replaced by a mask; the keyword before an assigned one stays."""
+    """docs with every secret in its text replaced by a mask; the keyword before an assigned one stays.
+
+    Rows with what was found in them are a table in the shared folder, so each text is searched once; only texts with a
+    secret are taken to Python again.
+    """
     ship(docs.sparkSession)
     f, s = free_name(docs.columns, "found"), free_name(docs.columns, "spans")
-    limits = thresholds(cut(docs.select(arrow(_scanned, SCAN)(F.col("text")).alias(f)).where(F.size(F.col(f)["t_bin"]) > 0), "secrets"), f, q)
-    rows = docs.withColumn(f, arrow(_scanned, SCAN)(F.col("text"))).withColumn(s, spans_column(f, limits))
-    return rows.withColumn("text", F.when(F.size(s) > 0, arrow(_masked, "string")(F.col("text"), F.col(s))).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = cut(docs.withColumn(f, arrow(_scanned, SCAN)(F.col("text"))), "secrets")
+    rows = rows.withColumn(s, spans_column(f, thresholds(rows, f, q)))
+    held = F.when(F.size(s) > 0, F.col("text"))
+    masked = F.when(held.isNotNull(), arrow(_masked, "string")(held, F.when(held.isNotNull(), F.col(s)))).otherwise(F.col("text"))
+    return rows.withColumn("text", masked).select(*[F.col(f"`{c}`") for c in docs.columns])
