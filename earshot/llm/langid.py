@@ -1,6 +1,6 @@
 """Operator 7: language by compression with per-language dictionaries.
 
-Each language's dictionary is raw content: text of a bounded sample of its labelled rows. A text, in pieces short enough
+Each language's dictionary is raw content: the whole texts of a bounded sample of its labelled rows. A text, in pieces short enough
 that a compressor can't learn the language from the piece itself, is compressed with every dictionary; the language of
 the smallest total is predicted. Where the runner-up comes within MARGIN of it the answer is marked as rejected.
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from earshot.llm.common import arrow, ship
 
 FOLDS = 5
-#: Bounds of the sample: rows per language, characters of a row, bytes of a dictionary, and languages.
-ROWS, CHARS, BYTES, LANGUAGES = 400, 4000, 128_000, 500
+#: Bound of the sample: labelled rows per language, whole texts.
+ROWS = 64
 #: Bytes compressed at once, and the level.
 PIECE, LEVEL = 2000, 9
 #: Least relative gap to the runner-up.
@@ -41,25 +41,20 @@ def learn(docs: DataFrame, rows: int = ROWS) -> dict[str, bytes]:
     """Raw dictionaries by language, from at most `rows` labelled rows each, chosen by a hash of the id.
 
     Labels are counted first; then only rows whose hash is below a language's share are read, about four times as many
-    as are used, so what is shuffled is bounded however many rows a language has.
+    as are used, so what is shuffled is bounded however many rows a language has. The model grows with the number of
+    languages, as each needs a dictionary.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
-    share = F.lit(None).cast("bigint")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 40, 4 * rows * (1 << 40) // r["count"]))).otherwise(share)
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share
-    known = labelled.where(low & F.col("text").isNotNull()).select("lang", "doc_id", F.substring("text", 1, CHARS).alias("text"))
-    seeded = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", "text")
+    whole = 1 << 40
+    shares = labelled.groupBy("lang").agg(F.expr(f"CAST(least({whole}, {4 * rows} * (cast({whole} as decimal(30,0)) / count(*))) AS BIGINT)").alias("share"))
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(whole))
+    known = labelled.where(F.col("text").isNotNull()).join(shares, "lang").where(low < F.col("share")).select("lang", "doc_id", "text")
+    seeded = Window.partitionBy("lang").orderBy(low, "doc_id", "text")
     chosen = known.withColumn("i", F.row_number().over(seeded)).where(F.col("i") <= rows).orderBy("lang", "i").collect()
-    out: dict[str, bytes] = {}
+    out: dict[str, list[bytes]] = {}
     for r in chosen:
-        held = out.get(r["lang"], b"")
-        if len(held) < BYTES:
-            out[r["lang"]] = held + folded(r["text"])[: BYTES - len(held)] + b"\n"
-    return dict(sorted(out.items()))
+        out.setdefault(r["lang"], []).append(folded(r["text"]))
+    return {k: b"\n".join(v) for k, v in sorted(out.items())}
 
 
 def folded(text: str) -> bytes:
@@ -103,7 +98,7 @@ PREDICTED = "struct<lang_pred:string,score:double,rejected:boolean>"
 
 
 def predicted(docs: DataFrame, model: dict[str, bytes], text: str = "text"):
-    """A struct column of predictions; the model (at most LANGUAGES * BYTES) is broadcast."""
+    """A struct column of predictions; the model (ROWS texts a language) is broadcast."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
