@@ -10,7 +10,7 @@ links, and a spanning forest of them, so a dense group of m vectors gives rows i
 
 Cases: null, zero or non-finite vectors (or with null components) link with nothing and are components of their own;
 vectors of different lengths never link; a repeated vec_id is one vector if its rows are equal, else as many as it has
-rows, all under the one id; ties cannot arise; an empty table gives no rows; other columns are ignored.
+rows, all under the one id and with their links added up; ties cannot arise; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,9 +48,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.empty((0, 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two that bring their largest components to about 1, so squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    # scaled by the largest component first, so squares neither overflow nor vanish
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -168,7 +172,7 @@ def _compare(threshold: float, turn: np.ndarray, step: int = 1024):
             for r in batch.to_pylist():
                 ids = [np.frombuffer(r[k], np.int64) for k in ("ids_a", "ids_b")]
                 weight = [np.frombuffer(r[k], np.int64) for k in ("w_a", "w_b")]
-                given = [np.frombuffer(r[k], np.float64).reshape(-1, dim) for k in ("x_a", "x_b")]
+                given = [scaled(np.frombuffer(r[k], np.float64).reshape(-1, dim)) for k in ("x_a", "x_b")]
                 turned = [_unit(x) @ turn for x in given]
                 same = r["a"] == r["b"]
                 links = [np.zeros(len(i), np.int64) for i in ids]
