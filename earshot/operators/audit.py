@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from earshot.plans.catalog import frame, query
+from earshot.operators.prep import numbered
+from earshot.plans.catalog import frame, kept, query
 
 
 @frame
@@ -15,10 +16,15 @@ def per_item(d):
     return "SELECT item, mbid, count(*) AS n FROM listens GROUP BY item, mbid"
 
 
-@frame
+@kept
 def ranked_users(d):
-    """Users by listens, with what a rank needs: one row per user, so the window is over an aggregate."""
-    return "SELECT usr, n, n_distinct, row_number() OVER (ORDER BY n, usr) AS r, count(*) OVER () AS m, sum(n) OVER () AS total, sum(n) OVER (ORDER BY n, usr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM per_user"
+    """Users by listens, with what a rank needs, by ranges of the number of listens, so no task sorts all users."""
+    ranges = "SELECT usr, n, n_distinct, CAST(floor(log2(n + 1e0) * 8e0) AS INT) AS range_no FROM per_user"
+    sums = f"SELECT range_no, count(*) AS k, sum(n) AS s FROM ({ranges}) AS a GROUP BY range_no"
+    before = f"SELECT range_no, sum(k) OVER (ORDER BY range_no) - k AS k, sum(s) OVER (ORDER BY range_no) - s AS s, sum(k) OVER () AS m, sum(s) OVER () AS total FROM ({sums}) AS b"
+    return f"""SELECT x.usr, x.n, x.n_distinct, row_number() OVER (PARTITION BY x.range_no ORDER BY x.n, x.usr) + y.k AS r, y.m, y.total,
+    sum(x.n) OVER (PARTITION BY x.range_no ORDER BY x.n, x.usr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + y.s AS upto
+  FROM ({ranges}) AS x JOIN ({before}) AS y ON x.range_no = y.range_no"""
 
 
 def nearest(p: float) -> str:
@@ -82,13 +88,14 @@ def dst_item_thresholds(d):
 
 @query
 def dst_long_tail(d):
-    return "SELECT row_number() OVER (ORDER BY n DESC, item) AS rnk, n FROM per_item"
+    return f"SELECT rnk, n FROM ({numbered('SELECT item, n FROM per_item', 'n DESC, item', 'n')}) AS z"
 
 
 @query
 def dst_sampled_repeat(d):
     return """SELECT round(avg(n_distinct), 6) AS mean_distinct, round(avg(1e0 * n / n_distinct), 6) AS mean_ratio, max(n - n_distinct) AS max_repeats,
-  max(CASE WHEN k - 1 = least(m - 1, CAST(floor(m * 0.5e0) AS BIGINT)) THEN n - n_distinct END) AS median_repeats
+  max(CASE WHEN k - 1 = least(m - 1, CAST(floor(m * 0.5e0) AS BIGINT)) THEN n - n_distinct END) AS median_repeats,
+  max(CASE WHEN k - 1 = least(m - 1, CAST(floor(m * 0.9e0) AS BIGINT)) THEN n - n_distinct END) AS p90_repeats
   FROM (SELECT *, row_number() OVER (ORDER BY n - n_distinct, usr) AS k, count(*) OVER () AS m FROM (SELECT usr, n, n_distinct FROM per_user ORDER BY usr LIMIT 1000) AS first_users) AS x"""
 
 
@@ -99,7 +106,8 @@ def gini_pair(d):
 
 @query
 def dst_tolerance_compare(d):
-    return "SELECT 'gini' AS name, CASE WHEN abs(a - b) <= 0.001e0 * abs(a) THEN 'PASS' WHEN abs(a - b) <= 0.01e0 * abs(a) THEN 'SOFT-PASS' ELSE 'FAIL' END AS verdict FROM gini_pair"
+    return """SELECT 'gini' AS name, CASE WHEN abs(a - b) <= 0.001e0 * abs(a) THEN 'PASS' WHEN abs(a - b) <= 0.01e0 * abs(a) THEN 'SOFT-PASS' ELSE 'FAIL' END AS verdict FROM gini_pair
+  UNION ALL SELECT 'n_users' AS name, CASE WHEN max(m) = count(DISTINCT usr) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM ranked_users"""
 
 
 @query
@@ -127,7 +135,7 @@ def agg_census(d):
 
 @query
 def agg_census_rollup(d):
-    return "SELECT tier, shard, sum(n_users) AS n_users, sum(n_rows) AS n_rows, min(min_ts) AS min_ts, max(max_ts) AS max_ts FROM census GROUP BY ROLLUP (tier, shard)"
+    return "SELECT tier, shard, sum(n_users) AS n_users, sum(n_rows) AS n_rows, min(min_ts) AS min_ts, max(max_ts) AS max_ts, count(DISTINCT shard) AS n_shards FROM census GROUP BY ROLLUP (tier, shard)"
 
 
 @query

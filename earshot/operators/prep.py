@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from earshot.plans.catalog import frame, query
+from earshot.plans.catalog import frame, kept, query
 
 #: Fixed values of the data model, scaled to tables of thirty days: days of the test and validation spans, least count
 #: of a vocabulary item, least training events of a cohort user.
@@ -15,23 +15,34 @@ def listens(d):
     return f"SELECT event_id, user_id AS usr, {d.seconds('ts')} AS ts, {d.json_int('props', 'k')} AS item, md5(CAST({d.json_int('props', 'k')} AS VARCHAR(20))) AS mbid, event_type AS signal FROM events"
 
 
-@frame
+@kept
 def splits(d):
     return f"""SELECT *, CASE WHEN top - ts < {TEST_DAYS * DAY} THEN 2 WHEN top - ts < {VAL_DAYS * DAY} THEN 1 ELSE 0 END AS split
   FROM (SELECT *, max(ts) OVER (PARTITION BY usr) AS top FROM listens) AS dated"""
 
 
+def numbered(rows: str, order: str, of: str, name: str = "rnk") -> str:
+    """Rows with their place in an order (from 1), without a task that sorts them all.
+
+    `of` (an integer column, the first in the order if descending) deals rows into ranges whose sizes are counted; a row's
+    place is its place in its range plus the rows of the ranges before.
+    """
+    ranges = f"SELECT *, CAST(floor(log2({of} + 1e0) * 8e0) AS INT) AS range_no FROM ({rows}) AS r"
+    before = f"SELECT range_no, sum(m) OVER (ORDER BY range_no DESC) - m AS m FROM (SELECT range_no, count(*) AS m FROM ({ranges}) AS a GROUP BY range_no) AS b"
+    return f"SELECT x.*, row_number() OVER (PARTITION BY x.range_no ORDER BY {order}) + y.m AS {name} FROM ({ranges}) AS x JOIN ({before}) AS y ON x.range_no = y.range_no"
+
+
 def vocabulary(where: str, id_name: str) -> str:
-    return f"""SELECT item, mbid, n, CAST(row_number() OVER (ORDER BY n DESC, mbid) - 1 AS INT) AS {id_name}
-  FROM (SELECT item, mbid, count(*) AS n FROM splits WHERE {where} GROUP BY item, mbid HAVING count(*) >= {MIN_COUNT}) AS counted"""
+    counted = f"SELECT item, mbid, count(*) AS n FROM splits WHERE {where} GROUP BY item, mbid HAVING count(*) >= {MIN_COUNT}"
+    return f"SELECT item, mbid, n, CAST(rnk - 1 AS INT) AS {id_name} FROM ({numbered(counted, 'n DESC, mbid', 'n')}) AS z"
 
 
-@frame
+@kept
 def vocab_all(d):
     return vocabulary("1 = 1", "v1_item_id")
 
 
-@frame
+@kept
 def vocab_train(d):
     return vocabulary("split = 0", "item_id")
 
@@ -41,12 +52,12 @@ def in_vocab(d):
     return "SELECT splits.* FROM splits JOIN vocab_train ON splits.mbid = vocab_train.mbid"
 
 
-@frame
+@kept
 def cohort(d):
     return f"SELECT usr, sum(CASE WHEN split < 2 THEN 1 ELSE 0 END) AS n_history FROM in_vocab GROUP BY usr HAVING sum(CASE WHEN split = 0 THEN 1 ELSE 0 END) >= {MIN_TRAIN} AND sum(CASE WHEN split = 2 THEN 1 ELSE 0 END) >= 1"
 
 
-@frame
+@kept
 def history(d):
     """Training and validation events of the cohort, numbered backwards in time."""
     return """SELECT e.usr, e.item, e.ts, e.event_id, max(e.ts) OVER (PARTITION BY e.usr) AS last_ts,
@@ -54,13 +65,14 @@ def history(d):
   FROM in_vocab AS e JOIN cohort ON e.usr = cohort.usr WHERE e.split < 2"""
 
 
-@frame
+@kept
 def train_history(d):
-    return """SELECT e.usr, e.item, e.ts, e.event_id, max(e.ts) OVER (PARTITION BY e.usr) AS last_ts
+    return """SELECT e.usr, e.item, e.ts, e.event_id, max(e.ts) OVER (PARTITION BY e.usr) AS last_ts,
+  row_number() OVER (PARTITION BY e.usr ORDER BY e.ts DESC, e.event_id DESC) AS back
   FROM in_vocab AS e JOIN cohort ON e.usr = cohort.usr WHERE e.split = 0"""
 
 
-@frame
+@kept
 def truth(d):
     """Test items of the cohort; whether the user's history has them."""
     return """SELECT t.usr, t.item, CASE WHEN h.item IS NULL THEN 0 ELSE 1 END AS is_repeat
@@ -72,8 +84,8 @@ def truth(d):
 def truth_split(d):
     return """SELECT usr, item, 'overall' AS part FROM truth
   UNION ALL SELECT usr, item, CASE WHEN is_repeat = 1 THEN 'repeat' ELSE 'discovery' END AS part FROM truth
-  UNION ALL SELECT usr, item, 'discovery_known' AS part FROM truth WHERE is_repeat = 0 AND item IN (SELECT item FROM vocab_all)
-  UNION ALL SELECT usr, item, 'discovery_cold' AS part FROM truth WHERE is_repeat = 0 AND item NOT IN (SELECT item FROM vocab_all)"""
+  UNION ALL SELECT usr, item, 'discovery_known' AS part FROM truth WHERE is_repeat = 0 AND EXISTS (SELECT 1 FROM vocab_all WHERE vocab_all.item = truth.item)
+  UNION ALL SELECT usr, item, 'discovery_cold' AS part FROM truth WHERE is_repeat = 0 AND NOT EXISTS (SELECT 1 FROM vocab_all WHERE vocab_all.item = truth.item)"""
 
 
 @query
@@ -151,7 +163,7 @@ def agg_thin_users(d):
 
 @query
 def set_missing_users(d):
-    return "SELECT DISTINCT usr FROM splits WHERE usr NOT IN (SELECT usr FROM splits WHERE split = 0)"
+    return "SELECT usr FROM splits GROUP BY usr HAVING sum(CASE WHEN split = 0 THEN 1 ELSE 0 END) = 0"
 
 
 @query

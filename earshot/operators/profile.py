@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from earshot.operators.scorers import against_all
-from earshot.plans.catalog import frame, query
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from earshot.operators import grid
+from earshot.plans.catalog import BUILT, frame, kept, query, table
 
 #: Weight of each signal, half-life, blend weights, least and most items of a contribution.
 SIGNALS = {"play": 1.0, "completion": 1.2, "replay": 1.0, "like": 2.0, "save": 1.5, "playlist_add": 1.5, "short_play": 0.3, "skip": 0.0}
@@ -20,7 +23,7 @@ def signal_weights(d):
     return "SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{s}', {SIGNALS[s]}e0)" for e, s in EVENTS.items()) + ") AS t(signal, kind, w)"
 
 
-@frame
+@kept
 def profile_state(d):
     return "SELECT l.usr, l.item, count(*) AS n, max(l.ts) AS last_seen, round(sum(s.w), 6) AS wscore FROM listens AS l JOIN signal_weights AS s ON l.signal = s.signal GROUP BY l.usr, l.item"
 
@@ -54,7 +57,7 @@ def weekday(d, ts: str) -> str:
     return f"(({d.idiv(ts, '86400')} + 3) % 7)"
 
 
-@frame
+@kept
 def rhythm(d):
     """Share of each hour and weekday in a user's listens; all hours and days are listed."""
     def shares(kind, n, expr):
@@ -79,7 +82,7 @@ def srv_context_weight(d):
     return "SELECT usr, w FROM context_weights"
 
 
-@frame
+@kept
 def catalogue(d):
     return f"SELECT CAST(vec_id AS INT) AS item, {d.scale('embedding')} AS v FROM embeddings"
 
@@ -89,11 +92,15 @@ def catalogue_parts(d):
     return d.explode("v", "pos", "x", "catalogue", "item")
 
 
-@frame
+def taste_of(parts: str) -> str:
+    return f"""SELECT r.usr, p.pos, {1 - EXPLORATION}e0 * sum((r.score + 1e-6) * p.x) / sum(r.score + 1e-6) + {EXPLORATION}e0 * avg(p.x) AS x
+  FROM repeat_scores AS r JOIN {parts} AS p ON r.item = p.item GROUP BY r.usr, p.pos"""
+
+
+@kept
 def taste(d):
     """Blend of the weighted centre of played items and their plain mean, by the exploration."""
-    return f"""SELECT r.usr, p.pos, {1 - EXPLORATION}e0 * sum((r.score + 1e-6) * p.x) / sum(r.score + 1e-6) + {EXPLORATION}e0 * avg(p.x) AS x
-  FROM repeat_scores AS r JOIN catalogue_parts AS p ON r.item = p.item GROUP BY r.usr, p.pos"""
+    return taste_of("catalogue_parts")
 
 
 @query
@@ -101,50 +108,59 @@ def srv_taste_center(d):
     return "SELECT usr, pos, round(x, 6) AS x FROM taste"
 
 
-@frame
-def discovery(d):
-    """Cosine of each user's taste and each item."""
-    users = f"SELECT usr, {d.collect('x', 'pos')} AS v, sqrt(sum(x * x)) AS norm FROM taste GROUP BY usr"
-    items = f"SELECT item, v, sqrt({d.dot('v', 'v')}) AS norm FROM catalogue"
-    return against_all(d, users, "u.usr, i.item", items, f"{d.dot('u.v', 'i.v')} / (u.norm * i.norm + 1e-12)")
+def repeat_vectors(d, vectors: str) -> str:
+    """Users with their normalised taste, the weight of the present hour and day, and their repeat scores by item."""
+    means = f"SELECT usr, {d.collect('x', 'pos')} AS v, sqrt(sum(x * x)) AS norm FROM {vectors} GROUP BY usr"
+    scores = "SELECT usr, array_sort(collect_list(struct(item, score))) AS s FROM repeat_scores GROUP BY usr"
+    return f"SELECT m.usr, transform(m.v, x -> x / (m.norm + 1e-12)) AS v, c.w, s.s.item AS items, s.s.score AS repeat FROM ({means}) AS m JOIN ({scores}) AS s ON s.usr = m.usr JOIN context_weights AS c ON c.usr = m.usr"
 
 
-def min_max(x: str) -> str:
-    lo, hi = f"min({x}) OVER (PARTITION BY usr)", f"max({x}) OVER (PARTITION BY usr)"
-    return f"CASE WHEN {hi} - {lo} < 1e-12 THEN 0e0 ELSE ({x} - {lo}) / ({hi} - {lo}) END"
+@kept
+def user_vectors(d):
+    return repeat_vectors(d, "taste")
 
 
-@frame
-def hybrid(d):
-    """Both scores, each scaled over the whole catalogue before anything is left out."""
-    return f"""SELECT s.usr, s.item, s.played, round({W_REPEAT}e0 * s.r + {W_DISCOVERY}e0 * s.x, 9) AS plain, round({W_REPEAT}e0 * s.r * c.w + {W_DISCOVERY}e0 * s.x, 9) AS in_context
-  FROM (SELECT usr, item, played, {min_max('repeat')} AS r, {min_max('disc')} AS x FROM
-    (SELECT q.usr, q.item, CASE WHEN r.item IS NULL THEN 0 ELSE 1 END AS played, coalesce(r.score, 0e0) AS repeat, q.score AS disc FROM discovery AS q LEFT JOIN repeat_scores AS r ON r.usr = q.usr AND r.item = q.item) AS y) AS s
-  JOIN context_weights AS c ON c.usr = s.usr"""
+def recommended(users: str, items: str, in_context: bool, exclude: bool):
+    """What builds the lists of K of the hybrid ranking."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, users)
+        rows = rows if in_context else rows.withColumn("w", F.lit(1.0))
+        return grid.blended(rows, table(spark, sf_dir, items), K, W_REPEAT, W_DISCOVERY, exclude)
+
+    return build, ("events", "embeddings")
+
+
+@kept
+def unit_catalogue(d):
+    """All items, of length one."""
+    return f"SELECT item, transform(v, x -> x / (norm + 1e-12)) AS v FROM (SELECT item, v, sqrt({d.dot('v', 'v')}) AS norm FROM catalogue) AS c"
 
 
-def recommended(score: str, where: str) -> str:
-    return f"SELECT usr, item, {score} AS score FROM (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY {score} DESC, item) AS k FROM hybrid WHERE {where}) AS z WHERE k <= {K}"
+BUILT["recommended_new"] = recommended("user_vectors", "unit_catalogue", False, True)
+BUILT["recommended_all"] = recommended("user_vectors", "unit_catalogue", False, False)
+BUILT["recommended_now"] = recommended("user_vectors", "unit_catalogue", True, False)
 
 
 @query
 def srv_recommend(d):
-    return recommended("plain", "played = 0")
+    """Played items get -1, so they fill a list only where the catalogue ends."""
+    return "SELECT usr, item, score FROM recommended_new"
 
 
 @query
 def srv_recommend_with_played(d):
-    return recommended("plain", "1 = 1")
+    return "SELECT usr, item, score FROM recommended_all"
 
 
 @query
 def srv_recommend_in_context(d):
-    return recommended("in_context", "1 = 1")
+    return "SELECT usr, item, score FROM recommended_now"
 
 
 @query
 def srv_breakdown(d):
-    return f"SELECT usr, sum(played) AS n_repeat, count(*) AS n FROM (SELECT usr, played, row_number() OVER (PARTITION BY usr ORDER BY plain DESC, item) AS k FROM hybrid) AS z WHERE k <= {K} GROUP BY usr"
+    return "SELECT usr, sum(played) AS n_repeat, count(*) AS n FROM recommended_all GROUP BY usr"
 
 
 @frame

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from earshot.plans.catalog import frame, query
+from earshot.plans.catalog import frame, kept, query
 
 #: The accepted span of timestamps, and the noise thresholds (scaled to the tables).
 TS_LOW, TS_HIGH = 946684800, 1788220800 + 86400
@@ -30,23 +30,25 @@ def raw_lines(d):
   UNION ALL SELECT usr, event_id + 1000000000 AS line_no, concat(CAST(ts AS VARCHAR(20)), chr(9), '', chr(9), '', chr(9), {rec}) AS line FROM listens WHERE {d.mod("event_id", 17)} = 0"""
 
 
-@frame
+@kept
 def parsed(d):
+    """Fields of the lines that aren't blank. Written once, as every check reads them."""
     parts = d.split("line", "\\t" if d.name == "spark" else "\t")
-    return f"SELECT usr, line_no, line, {d.size('p')} AS n_cols, trim({d.at('p', 0)}) AS ts_text, coalesce({d.at('p', 2)}, '') AS release_id, coalesce({d.at('p', 3)}, '') AS recording FROM (SELECT usr, line_no, line, {parts} AS p FROM raw_lines WHERE trim(line) <> '') AS x"
+    return f"""SELECT usr, line_no, line, {d.size('p')} AS n_cols, trim({d.at('p', 0)}) AS ts_text, {d.try_int(f"trim({d.at('p', 0)})")} AS ts,
+    coalesce({d.at('p', 1)}, '') AS artists, coalesce({d.at('p', 2)}, '') AS release_id, coalesce({d.at('p', 3)}, '') AS recording
+  FROM (SELECT usr, line_no, line, {parts} AS p FROM raw_lines WHERE trim(line) <> '') AS x"""
 
 
-@frame
+@kept
 def judged(d):
-    ts = d.try_int("ts_text")
-    return f"""SELECT *, {ts} AS ts, CASE WHEN n_cols < 2 THEN 'bad_col_count'
-    WHEN NOT {d.matches('ts_text', '^[+-]?[0-9]+$')} OR {ts} IS NULL THEN 'bad_ts'
-    WHEN {ts} < {TS_LOW} OR {ts} > {TS_HIGH} THEN 'ts_out_of_range'
+    return f"""SELECT *, CASE WHEN n_cols < 2 THEN 'bad_col_count'
+    WHEN NOT {d.matches('ts_text', '^[+-]?[0-9]+$')} OR ts IS NULL THEN 'bad_ts'
+    WHEN ts < {TS_LOW} OR ts > {TS_HIGH} THEN 'ts_out_of_range'
     WHEN recording <> '' AND NOT {d.matches('recording', UUID)} THEN 'malformed_recording'
     WHEN recording = '' THEN 'no_recording_mbid' END AS reason FROM parsed"""
 
 
-@frame
+@kept
 def clean(d):
     """Accepted lines, the first of each (user, second, recording)."""
     return f"""SELECT usr, line_no, ts, recording, release_id FROM (
@@ -56,9 +58,10 @@ def clean(d):
 
 @frame
 def noise(d):
+    """Most distinct recordings of a user in an hour, and most listens of one in a day, among the clean rows."""
     return f"""SELECT f.usr, f.max_hour, r.max_day, f.max_hour > {FLOOD} AS is_flood, r.max_day > {REPEATS} AS is_repeat FROM
-  (SELECT usr, max(n) AS max_hour FROM (SELECT usr, {d.idiv('ts', '3600')} AS h, count(DISTINCT item) AS n FROM listens GROUP BY usr, {d.idiv('ts', '3600')}) AS x GROUP BY usr) AS f
-  JOIN (SELECT usr, max(n) AS max_day FROM (SELECT usr, {d.idiv('ts', '86400')} AS h, item, count(*) AS n FROM listens GROUP BY usr, {d.idiv('ts', '86400')}, item) AS x GROUP BY usr) AS r ON f.usr = r.usr"""
+  (SELECT usr, max(n) AS max_hour FROM (SELECT usr, {d.idiv('ts', '3600')} AS h, count(DISTINCT recording) AS n FROM clean GROUP BY usr, {d.idiv('ts', '3600')}) AS x GROUP BY usr) AS f
+  JOIN (SELECT usr, max(n) AS max_day FROM (SELECT usr, {d.idiv('ts', '86400')} AS h, recording, count(*) AS n FROM clean GROUP BY usr, {d.idiv('ts', '86400')}, recording) AS x GROUP BY usr) AS r ON f.usr = r.usr"""
 
 
 @query
@@ -109,7 +112,7 @@ def agg_noise_top10(d):
 
 def sensitivity(d, seconds: int, limits: tuple[int, ...]) -> str:
     parts = ", ".join(f"sum(CASE WHEN m > {t} THEN 1 ELSE 0 END) AS over_{t}" for t in limits)
-    return f"SELECT {parts} FROM (SELECT usr, max(n) AS m FROM (SELECT usr, {d.idiv('ts', str(seconds))} AS b, item, count(*) AS n FROM listens GROUP BY usr, {d.idiv('ts', str(seconds))}, item) AS x GROUP BY usr) AS y"
+    return f"SELECT {parts} FROM (SELECT usr, max(n) AS m FROM (SELECT usr, {d.idiv('ts', str(seconds))} AS b, recording, count(*) AS n FROM clean GROUP BY usr, {d.idiv('ts', str(seconds))}, recording) AS x GROUP BY usr) AS y"
 
 
 @query
@@ -130,11 +133,30 @@ def flt_uuid_bytes(d):
 
 @query
 def agg_ts_quality(d):
-    ts = d.try_int("ts_text")
-    return f"SELECT count(*) AS n_lines, sum(CASE WHEN {ts} IS NULL THEN 1 ELSE 0 END) AS n_unparsable, sum(CASE WHEN {ts} < 0 THEN 1 ELSE 0 END) AS n_negative, sum(CASE WHEN {ts} < {TS_LOW} THEN 1 ELSE 0 END) AS n_early, sum(CASE WHEN {ts} > {TS_HIGH} THEN 1 ELSE 0 END) AS n_future, min({ts}) AS min_ts, max({ts}) AS max_ts FROM parsed"
+    """Timestamps by quality; one in milliseconds would be in range as seconds."""
+    return f"""SELECT count(*) AS n_lines, sum(CASE WHEN ts IS NULL THEN 1 ELSE 0 END) AS n_unparsable, sum(CASE WHEN ts < 0 THEN 1 ELSE 0 END) AS n_negative, sum(CASE WHEN ts < {TS_LOW} THEN 1 ELSE 0 END) AS n_early,
+  sum(CASE WHEN ts > {TS_HIGH} THEN 1 ELSE 0 END) AS n_future, sum(CASE WHEN ts > {TS_HIGH} AND {d.idiv('ts', '1000')} BETWEEN {TS_LOW} AND {TS_HIGH} THEN 1 ELSE 0 END) AS n_milliseconds, min(ts) AS min_ts, max(ts) AS max_ts FROM parsed"""
+
+
+@query
+def flt_artist_lists(d):
+    """Lines by their artist lists: absent, a list of ids, or malformed. A malformed list rejects no line."""
+    one = UUID[1:-1]
+    kind = f"CASE WHEN trim(artists) = '' THEN 'absent' WHEN {d.matches('trim(artists)', f'^{one}( *, *{one})*$')} THEN 'ids' ELSE 'malformed' END"
+    return f"SELECT {kind} AS kind, count(*) AS n FROM judged WHERE n_cols >= 2 GROUP BY {kind}"
+
+
+@query
+def dst_expected(d):
+    """What the clean rows are expected to be, and whether they are: exact counts, the vocabulary within a hundredth."""
+    return """SELECT e.name, e.found, e.expected, CASE WHEN abs(e.found - e.expected) <= e.slack * e.expected THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (
+    SELECT 'rows' AS name, (SELECT count(*) FROM clean) AS found, (SELECT count(DISTINCT concat(CAST(usr AS VARCHAR(20)), ':', CAST(ts AS VARCHAR(20)), ':', recording)) FROM judged WHERE reason IS NULL) AS expected, 0e0 AS slack
+    UNION ALL SELECT 'users' AS name, (SELECT count(DISTINCT usr) FROM clean) AS found, (SELECT count(DISTINCT usr) FROM listens) AS expected, 0e0 AS slack
+    UNION ALL SELECT 'items' AS name, (SELECT count(DISTINCT recording) FROM clean) AS found, (SELECT count(DISTINCT mbid) FROM listens) AS expected, 0e0 AS slack
+    UNION ALL SELECT 'vocabulary' AS name, (SELECT count(*) FROM vocab_train) AS found, (SELECT count(*) FROM vocab_all) AS expected, 0.01e0 AS slack) AS e"""
 
 
 @query
 def src_schema_discovery(d):
     kind = f"CASE WHEN v = '' THEN 'empty' WHEN {d.matches('v', UUID)} THEN 'uuid' WHEN {d.matches('v', '^[+-]?[0-9]+$')} THEN 'int' ELSE 'text' END"
-    return f"SELECT col, {kind} AS kind, count(*) AS n FROM (SELECT 0 AS col, ts_text AS v FROM parsed UNION ALL SELECT 2 AS col, release_id AS v FROM parsed UNION ALL SELECT 3 AS col, recording AS v FROM parsed) AS x GROUP BY col, {kind}"
+    return f"SELECT col, {kind} AS kind, count(*) AS n FROM (SELECT 0 AS col, ts_text AS v FROM parsed UNION ALL SELECT 1 AS col, artists AS v FROM parsed UNION ALL SELECT 2 AS col, release_id AS v FROM parsed UNION ALL SELECT 3 AS col, recording AS v FROM parsed) AS x GROUP BY col, {kind}"

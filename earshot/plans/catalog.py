@@ -3,22 +3,37 @@
 A frame is a function of a dialect that gives its SELECT; it may read input tables and other frames by name. A query is
 such a function too. Rendering puts the frames that a query needs, and those they need, in front of it; Catalyst then
 prunes columns, pushes filters into the scans and reuses exchanges across the common parts.
+
+A kept frame is planned once: it is written as a table in the shared folder when a query first needs it, and read from
+there by all queries of the application, as long as the files of its input tables stay the same. A built frame is a kept
+one that a function of (spark, folder of tables) makes, for what SQL has no words for.
+
+oracle(name) is SQL for DuckDB: the hand-written text of earshot.plans.oracles, which shares nothing with the frames, or,
+for a query that has none there, the same text in DuckDB's dialect.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from earshot.functions.dialect import DUCKDB, SPARK
+from earshot.plans.scratch import discard, gathered, written
 
 Text = Callable[[object], str]
+Maker = Callable[[SparkSession, str], DataFrame]
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 FRAMES: dict[str, Text] = {}
 QUERIES: dict[str, Text] = {}
+KEPT: set[str] = set()
+BUILT: dict[str, tuple[Maker, tuple[str, ...]]] = {}
+
+#: Views of written frames, by application, folder, frame and state of the input files.
+_views: dict[tuple, tuple[str, str]] = {}
 
 
 def frame(f: Text) -> Text:
@@ -27,6 +42,22 @@ def frame(f: Text) -> Text:
     return f
 
 
+def kept(f: Text) -> Text:
+    """Registers a frame that is written when it is first needed."""
+    KEPT.add(f.__name__)
+    return frame(f)
+
+
+def built(*tables: str) -> Callable[[Maker], Maker]:
+    """Registers a frame that a function makes from these input tables."""
+
+    def register(f: Maker) -> Maker:
+        BUILT[f.__name__] = f, tables
+        return f
+
+    return register
+
+
 def query(f: Text) -> Text:
     """Registers a query under its function's name."""
     QUERIES[f.__name__] = f
@@ -37,29 +68,100 @@ def words(sql: str) -> list[str]:
     return re.findall(r"[a-z_][a-z0-9_]*", sql)
 
 
-def render(body: str, dialect) -> str:
-    """The SQL of a body with the frames it needs in front."""
-    out: dict[str, str] = {}
+def needed(body: str, dialect, stop: Callable[[str], bool] = lambda _: False) -> Iterator[tuple[str, str]]:
+    """Names and texts of the frames that a body needs, those they need first; no further than names to stop at."""
+    seen: set[str] = set()
 
-    def need(sql: str) -> None:
+    def need(sql: str) -> Iterator[tuple[str, str]]:
         for name in words(sql):
-            if name in FRAMES and name not in out:
-                text = FRAMES[name](dialect)
-                need(text)
-                out.setdefault(name, text)
-
-    need(body)
-    return ("WITH " + ",\n".join(f"{n} AS ({t})" for n, t in out.items()) + "\n" if out else "") + body
+            if name not in seen and (name in FRAMES or stop(name)):
+                seen.add(name)
+                text = "" if stop(name) else FRAMES[name](dialect)
+                yield from need(text)
+                yield name, text
+
+    yield from need(body)
+
+
+def render(body: str, dialect, given: dict[str, str] | None = None) -> str:
+    """The SQL of a body with the frames it needs in front; those in `given` as they are there."""
+    given = given or {}
+    out = [f"{n} AS ({given.get(n) or text})" for n, text in needed(body, dialect, given.__contains__)]
+    return ("WITH " + ",\n".join(out) + "\n" if out else "") + body
+
+
+def tables_of(body: str) -> set[str]:
+    """Input tables that a body reads, through whatever frames."""
+    texts = [body] + [text for _, text in needed(body, SPARK, BUILT.__contains__)]
+    names = {w for t in texts for w in words(t)}
+    return names & set(TABLES) | {t for n in names & set(BUILT) for t in BUILT[n][1]}
+
+
+def state_of(spark: SparkSession, sf_dir: str, tables: set[str]) -> tuple:
+    """What changes when the files of input tables do."""
+    out = []
+    for t in sorted(tables):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(at) if fs.exists(at) else None
+        out.append((t, status and (status.getModificationTime(), status.getLen())))
+    return tuple(out)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def view_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A view, under a name that nothing else uses, of an input table or of a kept frame, which is written if it isn't yet."""
+    app = spark.sparkContext.applicationId
+    if name in TABLES:
+        key: tuple = (app, sf_dir, name, state_of(spark, sf_dir, {name}))
+    else:
+        uses = set(BUILT[name][1]) if name in BUILT else tables_of(FRAMES[name](SPARK))
+        key = (app, sf_dir, name, state_of(spark, sf_dir, uses))
+    if key not in _views or not _exists(spark, _views[key][1]) or not spark.catalog.tableExists(_views[key][0]):
+        if name in TABLES:
+            path = f"{sf_dir}/{name}.parquet"
+            df = spark.read.parquet(path)
+        else:
+            rows = run_sql(spark, sf_dir, FRAMES[name](SPARK)) if name in FRAMES else None
+            with gathered() as made:
+                rows = BUILT[name][0](spark, sf_dir) if rows is None else rows
+                df = written(rows, name)
+            # what a frame was built from and isn't a frame itself
+            held = {p for _, p in _views.values()}
+            discard(*[t for t in made if t is not df and t._scratch_path not in held])
+            path = df._scratch_path
+        view = f"earshot_{name}_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view)
+        _views[key] = view, path
+    return _views[key][0]
+
+
+def run_sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
+    """A body over the tables of a folder."""
+
+    def whole(name: str) -> bool:
+        return name in KEPT or name in BUILT or name in TABLES
+
+    given = {n: f"SELECT * FROM {view_of(spark, sf_dir, n)}" for n, _ in list(needed(body, SPARK, whole)) if whole(n) and (n not in TABLES or _exists(spark, f"{sf_dir}/{n}.parquet"))}
+    return spark.sql(render(body, SPARK, given))
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The query over the tables of a folder."""
-    sql = render(QUERIES[name](SPARK), SPARK)
-    for table in set(words(sql)) & set(TABLES):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(sql)
+    return run_sql(spark, sf_dir, QUERIES[name](SPARK))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A frame or input table as a DataFrame."""
+    return run_sql(spark, sf_dir, f"SELECT * FROM {name}")
 
 
 def oracle(name: str) -> str:
-    """The same query for DuckDB."""
-    return render(QUERIES[name](DUCKDB), DUCKDB)
+    """SQL for DuckDB with the same rows as the query."""
+    from earshot.plans.oracles import ORACLES
+
+    return ORACLES[name] if name in ORACLES else render(QUERIES[name](DUCKDB), DUCKDB)
