@@ -38,8 +38,9 @@ WORDS = 5
 THRESHOLD = 0.8
 K, BANDS, ROWS = 256, 32, 4
 #: Pairs of a bucket whose signatures agree in less than the threshold less so many standard deviations aren't verified:
-#: a similar pair falls there with a probability under 1e-8, as seldom as no band of its signatures agrees.
-DEVIATIONS = 6
+#: a pair of just the threshold's similarity falls there with a probability of 3e-5. With six deviations check_h's large
+#: group of near copies had not ended after seven minutes.
+DEVIATIONS = 4
 #: Nodes of a bucket in one task of the remainder, and the closest nodes it proposes first.
 PART, CLOSEST = 1024, 4
 
