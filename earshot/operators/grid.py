@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.plans.scratch import written
+from earshot.plans.scratch import ship, written
 
 #: Vectors in a block of users and of items.
 USERS, ITEMS = 256, 16384
@@ -46,6 +46,7 @@ def packed(rows: DataFrame, key: str, size: int, name: str, n: int) -> DataFrame
 
 def cells(users: DataFrame, items: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """What the kernel makes of each block of users (usr, v, ...) and block of items (item, v), as rows."""
+    ship(users.sparkSession)
     n_users, n_items = users.count(), items.count()
     blocks = max(1, -(-n_items // ITEMS))
     u = packed(users, "usr", USERS, "grp", n_users).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

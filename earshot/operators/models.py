@@ -10,15 +10,23 @@ Items are named by their dense place in the vocabulary, 0 to n - 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.operators import grid
+from earshot.operators.scorers import LIST
 from earshot.plans import catalog
 from earshot.plans.scratch import discard, written as kept
 
-DIM, NEGATIVES, STEPS = 64, 5, 4
+DIM, NEGATIVES = 64, 5
+#: Epochs of the embedding and the factor model, and mini-batches of an epoch.
+SKIPGRAM_EPOCHS, PAIRWISE_EPOCHS, BATCHES = 2, 3, 8
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
 
@@ -71,18 +79,28 @@ def with_vectors(rows: DataFrame, params: DataFrame, key: str, name: str) -> Dat
     return rows.join(params.select(F.col("id").alias(key), F.col("v").alias(name)), key)
 
 
-def skipgram(pairs: DataFrame, n_items: int, steps: int = STEPS, rate: float = 0.05, dim: int = DIM) -> tuple[DataFrame, list[float]]:
-    """Parameters of the centres, and the mean loss before each step, from rows (centre, other, n) of counted pairs.
+def batch_of(rows: DataFrame, step: int, batches: int, *key: str) -> DataFrame:
+    """The rows of a step's mini-batch."""
+    epoch, k = divmod(step - 1, batches)
+    return rows if batches == 1 else rows.where(F.pmod(F.xxhash64(*key, F.lit(epoch)), F.lit(batches)) == k)
+
+
+def skipgram(pairs: DataFrame, n_items: int, epochs: int = SKIPGRAM_EPOCHS, batches: int = BATCHES, rate: float = 0.05, dim: int = DIM) -> tuple[DataFrame, list[float]]:
+    """Parameters of the centres, and the mean loss of each step's batch before it, from rows (centre, other, n) of counted pairs.
 
     A pair is a positive of weight n, and each of its NEGATIVES uniform draws (drawn anew in each step) a negative of
     that weight, as drawing n times would give on average. A draw that hits the pair's own item stays.
     """
     ids = pairs.sparkSession.range(n_items).select("id")
     centre, other = parameters(ids, "centre", dim), parameters(ids, "other", dim)
-    total, losses = pairs.agg(F.sum("n")).first()[0] or 0, []
-    for step in range(1, steps + 1 if total else 1):
+    losses = []
+    for step in range(1, epochs * batches + 1):
+        batch = batch_of(pairs, step, batches, "centre", "other")
+        total = batch.agg(F.sum("n")).first()[0] or 0
+        if not total:
+            continue
         negative = F.transform(F.sequence(F.lit(1), F.lit(NEGATIVES)), lambda j: F.struct(F.pmod(F.xxhash64("centre", "other", j, F.lit(step)), F.lit(n_items)).alias("other"), F.lit(0.0).alias("label")))
-        both = pairs.withColumn("x", F.explode(F.concat(F.array(F.struct(F.col("other").cast("long").alias("other"), F.lit(1.0).alias("label"))), negative)))
+        both = batch.withColumn("x", F.explode(F.concat(F.array(F.struct(F.col("other").cast("long").alias("other"), F.lit(1.0).alias("label"))), negative)))
         rows = both.groupBy("centre", F.col("x.other").alias("other"), F.col("x.label").alias("label")).agg(F.sum("n").cast("double").alias("n"))
         rows = with_vectors(with_vectors(rows, centre, "centre", "c"), other, "other", "o").withColumn("z", dot(F.col("c"), F.col("o")))
         # the sign of z under which the row costs little
@@ -90,11 +108,13 @@ def skipgram(pairs: DataFrame, n_items: int, steps: int = STEPS, rate: float = 0
         losses.append(rows.agg(F.sum("cost")).first()[0] / total)
         up_c = rows.select(F.col("centre").alias("id"), times(F.col("o"), F.col("w")).alias("g"))
         up_o = rows.select(F.col("other").alias("id"), times(F.col("c"), F.col("w")).alias("g"))
+        before = centre, other
         centre, other = stepped(centre, up_c, step, rate, "centre"), stepped(other, up_o, step, rate, "other")
+        discard(*before, rows)
     return centre, losses
 
 
-def pairwise(positives: DataFrame, n_items: int, steps: int = STEPS, rate: float = 0.05, dim: int = DIM) -> tuple[DataFrame, DataFrame, list[float]]:
+def pairwise(positives: DataFrame, n_items: int, epochs: int = PAIRWISE_EPOCHS, batches: int = BATCHES, rate: float = 0.05, dim: int = DIM) -> tuple[DataFrame, DataFrame, list[float]]:
     """User and item parameters and the mean loss before each step, from rows (usr, item, pos) of positives.
 
     Each positive is ranked against one uniform draw; of up to 10 draws the first that the user has no positive of
@@ -103,24 +123,82 @@ def pairwise(positives: DataFrame, n_items: int, steps: int = STEPS, rate: float
     spark = positives.sparkSession
     users, items = parameters(positives.select(F.col("usr").alias("id")), "user", dim), parameters(spark.range(n_items).select("id"), "item", dim)
     own, losses = positives.select("usr", F.col("item").alias("drawn")).distinct(), []
-    for step in range(1, steps + 1):
+    for step in range(1, epochs * batches + 1):
+        batch = batch_of(positives, step, batches, "usr", "item", "pos")
         draws = F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda j: F.pmod(F.xxhash64("usr", "item", "pos", j, F.lit(step)), F.lit(n_items))))
-        tried = positives.select("usr", "item", "pos", draws.alias("j", "drawn")).join(own, ["usr", "drawn"], "left_anti")
+        tried = batch.select("usr", "item", "pos", draws.alias("j", "drawn")).join(own, ["usr", "drawn"], "left_anti")
         rows = tried.groupBy("usr", "item", "pos").agg(F.min(F.struct("j", "drawn"))["drawn"].alias("other"))
         rows = with_vectors(with_vectors(with_vectors(rows, users, "usr", "u"), items, "item", "p"), items, "other", "q")
         rows = rows.withColumn("d", F.zip_with("p", "q", lambda p, q: p - q)).withColumn("z", dot(F.col("u"), F.col("d"))).withColumn("w", sigmoid(-F.col("z")))
         rows = kept(rows.select("usr", "item", "other", "u", "d", "z", "w"), "triples")
         n, cost = rows.agg(F.count("*"), F.sum(softplus(-F.col("z")))).first()
         if not n:
-            break
+            continue
         losses.append(cost / n)
         part = F.col("w") / F.lit(float(n))
         up_u = rows.select(F.col("usr").alias("id"), times(F.col("d"), part).alias("g"))
         up_i = rows.select(F.col("item").alias("id"), times(F.col("u"), part).alias("g")).unionByName(rows.select(F.col("other").alias("id"), times(F.col("u"), -part).alias("g")))
+        before = users, items
         users, items = stepped(users, up_u, step, rate, "users"), stepped(items, up_i, step, rate, "items")
+        discard(*before, rows)
     return users, items, losses
 
 
+def aligned(factors: DataFrame, vocab: DataFrame, dim: int = DIM) -> DataFrame:
+    """Rows (item, v) of a whole vocabulary (item): the factors of those that have some (id, v), zeros for the others."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return vocab.select("item").join(factors.select(F.col("id").alias("item"), "v"), "item", "left").select("item", F.coalesce("v", zero).alias("v"))
+
+
+def factor_lists(users: DataFrame, items: DataFrame, k: int = LIST) -> DataFrame:
+    """Rows (usr, item, score, rank0): the k items of the largest product with each user's factors."""
+    return grid.top_scores(users.select("usr", "v"), items.select(F.col("item").cast("int").alias("item"), "v"), k)
+
+
+def gated(x: np.ndarray, length: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """Last states of a gated recurrent unit over sequences (n, steps, dim) of these lengths, projected.
+
+    w: weight_ih, weight_hh, bias_ih, bias_hh with the rows of reset, update and new gate on end, and proj and proj_bias.
+    """
+
+    def sig(z: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-z))
+
+    h = np.zeros((len(x), w["weight_hh"].shape[1]))
+    for t in range(x.shape[1]):
+        a = np.split(x[:, t] @ w["weight_ih"].T + w["bias_ih"], 3, axis=1)
+        b = np.split(h @ w["weight_hh"].T + w["bias_hh"], 3, axis=1)
+        reset, update = sig(a[0] + b[0]), sig(a[1] + b[1])
+        new = (1 - update) * np.tanh(a[2] + reset * b[2]) + update * h
+        h = np.where((t < length)[:, None], new, h)
+    return h @ w["proj"].T + w["proj_bias"]
+
+
+def sequence_lists(contexts: DataFrame, vectors: DataFrame, weights: dict[str, np.ndarray], k: int = LIST, longest: int = 50) -> DataFrame:
+    """Rows (usr, item, score, rank0) by a trained sequence model, from each user's last items (usr, context: an array, oldest first).
+
+    The vectors of a context are joined by position and gathered per user, at most `longest`; items without a vector are left out.
+    """
+    spark = contexts.sparkSession
+    last = contexts.select("usr", F.posexplode(F.slice("context", F.greatest(F.lit(1), F.size("context") - longest + 1), longest)).alias("pos", "item"))
+    seen = last.join(vectors.select("item", "v"), "item").groupBy("usr").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
+    shared = spark.sparkContext.broadcast(weights)
+
+    def states(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            usr, rows = batch.column(0), batch.column(1).to_pylist()
+            if rows:
+                length = np.array([len(r) for r in rows])
+                x = np.zeros((len(rows), length.max(), len(rows[0][0]["v"])))
+                for i, r in enumerate(rows):
+                    x[i, : len(r)] = [p["v"] for p in r]
+                h = gated(x, length, shared.value)
+                h /= np.linalg.norm(h, axis=1, keepdims=True) + 1e-8
+                yield pa.RecordBatch.from_arrays([usr, pa.array(list(h), pa.list_(pa.float64()))], names=["usr", "v"])
+
+    return factor_lists(seen.mapInArrow(states, "usr bigint, v array<double>"), vectors, k)
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Rows (item, place) of the training vocabulary, and their number."""
     v = catalog.run(spark, sf_dir, "win_vocab_v2").select("item", F.col("item_id").cast("long").alias("place"))
@@ -146,4 +224,12 @@ def fit_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select(F.lit("user").alias("kind"), F.col("id").cast("long").alias("id"), "v").unionByName(named)
 
 
-QUERIES = {"fit_skipgram": fit_skipgram, "fit_pairwise": fit_pairwise}
+def scr_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (usr, item, score, rank0): first twenty by the factor model, over the vocabulary of all events; what has no factors gets zeros."""
+    fitted = kept(fit_pairwise(spark, sf_dir), "factors")
+    items = aligned(fitted.where("kind = 'item'"), catalog.table(spark, sf_dir, "vocab_all"))
+    users = fitted.where("kind = 'user'").select(F.col("id").alias("usr"), "v").join(catalog.table(spark, sf_dir, "cohort"), "usr")
+    return factor_lists(users, items, 20)
+
+
+QUERIES = {"fit_skipgram": fit_skipgram, "fit_pairwise": fit_pairwise, "scr_pairwise": scr_pairwise}

@@ -20,7 +20,7 @@ from earshot.operators import grid
 from earshot.operators.profile import recommended, repeat_vectors, taste_of
 from earshot.operators.scorers import DIM
 from earshot.plans.catalog import BUILT, built, frame, kept, query, table
-from earshot.plans.scratch import discard, written
+from earshot.plans.scratch import discard, ship, written
 
 #: Codes of a subspace, iterations, rows that codebooks are fitted on; and the subspaces (8 or 16).
 CODES, ITERATIONS, SAMPLE = 256, 15, 200_000
@@ -53,6 +53,7 @@ def parts_of(x: np.ndarray, subspaces: int) -> list[np.ndarray]:
 
 def fitted(rows: DataFrame, subspaces: int = SUBSPACES, codes: int = CODES, iterations: int = ITERATIONS, sample: int = SAMPLE) -> np.ndarray:
     """Centroids (subspace, code, dimension) fitted on rows (item, v)."""
+    ship(rows.sparkSession)
     order = F.pmod(F.col("item") * 7919, F.lit(1000003))
     chosen = written(rows.orderBy(order, "item").limit(sample).select("v", F.monotonically_increasing_id().alias("at")), "sample")
     n = chosen.count()
@@ -122,6 +123,7 @@ def book(spark: SparkSession, sf_dir: str) -> np.ndarray:
 @built("embeddings")
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (item, codes, dist): the codes of all embeddings, a byte per subspace, and their squared distances."""
+    ship(spark)
     shared = spark.sparkContext.broadcast(book(spark, sf_dir))
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +252,7 @@ def pq_reranked_recall(d):
 
 @query
 def vec_normalise(d):
-    return "SELECT item, transform(v, x -> round(x, 9)) AS v FROM raw_vectors"
+    return "SELECT item, CAST(p AS INT) AS pos, round(x, 9) AS x FROM raw_vectors LATERAL VIEW posexplode(v) AS p, x"
 
 
 @query

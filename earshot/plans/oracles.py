@@ -129,7 +129,7 @@ ev AS MATERIALIZED (
   SELECT u, i, count(*) AS n, max(t) AS seen, round(sum(CASE kind WHEN 'view' THEN 1.0 WHEN 'purchase' THEN 2.0 WHEN 'signup' THEN 1.5 WHEN 'click' THEN 0.3 WHEN 'error' THEN 0.0 END)::DOUBLE, 6) AS w FROM ev GROUP BY u, i
 ), rep AS MATERIALIZED (SELECT u, i, round(w * pow(2, -greatest(0, 1706745600 - seen) / (90 * 86400)), 9) AS x FROM prof
 ), clock AS MATERIALIZED (
-  SELECT u, kind, b, round((SELECT count(*) FROM ev AS e WHERE false) + coalesce(c.n, 0) / m, 9) AS p FROM (SELECT u, count(*) AS m FROM ev GROUP BY u)
+  SELECT u, kind, b, round(coalesce(c.n, 0) / m, 9) AS p FROM (SELECT u, count(*) AS m FROM ev GROUP BY u)
   CROSS JOIN (SELECT 'hour' AS kind, x AS b FROM range(24) AS t(x) UNION ALL SELECT 'day', x FROM range(7) AS t(x))
   LEFT JOIN (SELECT u, 'hour' AS kind, hour(make_timestamp(t * 1000000)) AS b, count(*) AS n FROM ev GROUP BY ALL UNION ALL SELECT u, 'day', isodow(make_timestamp(t * 1000000)) - 1, count(*) FROM ev GROUP BY ALL) AS c USING (u, kind, b)
 ), ctxw AS (
@@ -148,7 +148,11 @@ ev AS MATERIALIZED (
   SELECT a.i AS q, b.i, round(list_dot_product(a.v, b.v), 9) + 0 AS x FROM ve AS a, ve AS b WHERE a.i % 100 = 0
 ), found AS (
   SELECT CASE event_id % 11 WHEN 1 THEN NULL WHEN 2 THEN 'unknown' ELSE mb END AS mb, u, t FROM ev
-), seq AS MATERIALIZED (SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY t, event_id) AS pos FROM th)
+), seq AS MATERIALIZED (SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY t, event_id) AS pos FROM th
+), drawn_seq AS MATERIALIZED (
+  SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY pos) AS pos FROM seq JOIN (SELECT i, n / sum(n) OVER () AS f FROM vt) USING (i)
+  WHERE ('0x' || md5('keep:' || u || ':' || pos)[:8])::BIGINT / 4294967296 < least(1, sqrt(0.001 / f) + 0.001 / f)
+)
 """
 
 
@@ -200,6 +204,7 @@ _nearest = "(least(m - 1, floor(m * {}::DOUBLE))::BIGINT + 1)"
 _pairs = {"decay_90d_vs_user_frequency": ("decay_90d", "user_frequency"), "decay_90d_vs_popularity_train_global": ("decay_90d", "popularity_train_global"), "item2vec_w10_vs_popularity_train_global": ("item2vec_w10", "popularity_train_global"), "rrf_fusion_vs_decay_90d": ("rrf_fusion", "decay_90d")}
 _diffs = " UNION ALL ".join(f"SELECT '{n}' AS pair, a.part, a.u, a.recall_100 - b.recall_100 AS d FROM um AS a JOIN um AS b USING (u, part) WHERE a.s = '{x}' AND b.s = '{y}' AND part IN ('overall', 'repeat', 'discovery')" for n, (x, y) in _pairs.items())
 
+#: The texts by query.
 ORACLES: dict[str, str] = {
     # sources and checks of lines
     "src_parse_lines": _text("SELECT u AS usr, no AS line_no, n AS n_cols, tt AS ts_text, rel AS release_id, rec AS recording FROM fields"),
@@ -292,9 +297,9 @@ ORACLES: dict[str, str] = {
     "met_multiseed": _text("""SELECT s AS scorer, count(*) AS n_seeds, round(avg(x), 6) AS mean_recall, round(coalesce(stddev_samp(x), 0), 6) AS sd_recall FROM (
       SELECT s, seed, avg(recall) AS x FROM (
         SELECT s, seed, recall_100 AS recall FROM um JOIN cohorts USING (u) WHERE part = 'overall' AND s NOT IN ('item_knn', 'popularity_train')
-        UNION ALL SELECT s, c.seed, count(f.i) / n FROM cohorts AS c CROSS JOIN (SELECT unnest(['item_knn', 'popularity_train']) AS s) JOIN (SELECT u, i, count(*) OVER (PARTITION BY u) AS n FROM tr) AS t USING (u)
+        UNION ALL SELECT s.s, c.seed, count(f.i) / n FROM cohorts AS c CROSS JOIN (SELECT unnest(['item_knn', 'popularity_train']) AS s) AS s JOIN (SELECT u, i, count(*) OVER (PARTITION BY u) AS n FROM tr) AS t USING (u)
           LEFT JOIN (SELECT 'item_knn' AS s, seed, u, i FROM by_neighbours QUALIFY row_number() OVER (PARTITION BY seed, u ORDER BY x DESC, i) <= 100
-            UNION ALL SELECT 'popularity_train', seed, u, i FROM cohorts JOIN (SELECT * FROM heard QUALIFY row_number() OVER (PARTITION BY seed ORDER BY n DESC, i) <= 100) USING (seed)) AS f ON f.s = s.s AND f.seed = c.seed AND f.u = t.u AND f.i = t.i GROUP BY s.s, c.seed, t.u, n) WHERE seed > 0 GROUP BY s, seed) GROUP BY s""".replace("(SELECT unnest(['item_knn', 'popularity_train']) AS s) JOIN", "(SELECT unnest(['item_knn', 'popularity_train']) AS s) AS s JOIN").replace("SELECT s, c.seed, count", "SELECT s.s, c.seed, count")),
+            UNION ALL SELECT 'popularity_train', seed, u, i FROM cohorts JOIN (SELECT * FROM heard QUALIFY row_number() OVER (PARTITION BY seed ORDER BY n DESC, i) <= 100) USING (seed)) AS f ON f.s = s.s AND f.seed = c.seed AND f.u = t.u AND f.i = t.i GROUP BY s.s, c.seed, t.u, n) WHERE seed > 0 GROUP BY s, seed) GROUP BY s"""),
     "met_global_split": _text("SELECT count(*) AS n_truth, count(DISTINCT u) AS n_users, round(avg((l.i IS NOT NULL)::INT), 6) AS recall_20 FROM (SELECT DISTINCT u, i FROM ok SEMI JOIN co USING (u) WHERE t > (SELECT max(t) FROM hi) - 2 * 86400) LEFT JOIN (SELECT u, i FROM first WHERE s = 'decay_30d') AS l USING (u, i)"),
     "set_jaccard": _text("SELECT u AS usr, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS jaccard FROM (SELECT u, list(i) FILTER (s = 'decay_30d') AS a, list(i) FILTER (s = 'item2vec') AS b FROM first GROUP BY u)"),
     # serving
@@ -316,7 +321,7 @@ ORACLES: dict[str, str] = {
     # vectors
     "vec_exact_topk": _text("SELECT q AS query_id, i AS item, x AS score, row_number() OVER (PARTITION BY q ORDER BY x DESC, i) AS rnk FROM exact QUALIFY rnk <= 100"),
     "vec_neighbors": _text("SELECT q AS query_id, i AS item, x AS score, row_number() OVER (PARTITION BY q ORDER BY x DESC, i) AS rnk FROM exact WHERE q <> i QUALIFY rnk <= 100"),
-    "vec_normalise": _text("SELECT i AS item, list_transform(v, lambda x: round(x, 9)) AS v FROM ve"),
+    "vec_normalise": _text("SELECT i AS item, unnest(range(64))::INT AS pos, round(unnest(v), 9) AS x FROM ve"),
     "agg_same_brand_rate": _text("SELECT round(avg((a.p_brand = b.p_brand)::INT), 6) AS rate, count(*) AS n FROM (FROM exact WHERE q <> i QUALIFY row_number() OVER (PARTITION BY q ORDER BY x DESC, i) <= 10) AS e JOIN part AS a ON a.p_partkey = q JOIN part AS b ON b.p_partkey = i"),
     "pq_codebooks": _quantized("SELECT s::INT AS subspace, c::INT AS code, unnest(range(8))::INT AS pos, round(unnest(v), 9) AS x FROM cb"),
     "pq_encode": _quantized("SELECT i AS item, s::INT AS subspace, c AS code FROM dec"),
@@ -332,5 +337,9 @@ ORACLES: dict[str, str] = {
     "srt_negative_weights": _text("SELECT i AS item, round(sqrt(n) / sum(sqrt(n)) OVER (), 9) AS p FROM vt"),
     "win_first_positives": _text("SELECT u AS usr, i AS item, pos FROM seq WHERE pos <= 100"),
     "agg_sequence_lengths": _text("SELECT u AS usr, max(pos) AS n FROM seq GROUP BY u"),
-    "win_skipgram_pairs": _text("SELECT a.i AS centre, b.i AS other, count(*) AS n FROM seq AS a JOIN seq AS b USING (u) WHERE a.pos <> b.pos AND abs(a.pos - b.pos) <= 1 + a.pos % 5 GROUP BY ALL"),
+    "win_context_windows": _text("SELECT u AS usr, pos, i AS target, len(c) AS n_context, array_to_string(c, ',') AS context FROM (SELECT u, pos, i, list(i) OVER (PARTITION BY u ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS c, md5('window:' || u || ':' || pos)[:8] AS h FROM seq) WHERE pos > 1 QUALIFY row_number() OVER (PARTITION BY u ORDER BY h, pos) <= 100"),
+    "win_skipgram_pairs": _text("""SELECT a.i AS centre, b.i AS other, count(*) AS n FROM (SELECT *, 1 + floor(5 * ('0x' || md5('reach:' || u || ':' || pos)[:8])::BIGINT / 4294967296)::INT AS reach FROM drawn_seq) AS a JOIN drawn_seq AS b USING (u) WHERE a.pos <> b.pos AND abs(a.pos - b.pos) <= reach GROUP BY ALL"""),
+    "srt_anchors": _text("SELECT i AS item, id AS item_id FROM vt WHERE id < 20 OR i IN (SELECT b FROM (FROM near WHERE seed = 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 5) JOIN vt ON vt.i = a WHERE id < 20)"),
+    "stm_rhythm": _text("SELECT u AS usr, 'hour' AS kind, hour(make_timestamp(t * 1000000))::INT AS bucket, count(*) AS n FROM ev GROUP BY ALL UNION ALL SELECT u, 'day', (isodow(make_timestamp(t * 1000000)) - 1)::INT, count(*) FROM ev GROUP BY ALL"),
+    "stm_profile_update": _text("SELECT u AS usr, i AS item, n, seen AS last_seen, w AS wscore FROM prof"),
 }

@@ -1,15 +1,37 @@
-"""Tables written in the shared folder, so that a lost executor costs no more than the running step."""
+"""Tables written in the shared folder, so that a lost executor costs no more than the running step; and shipping the package."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to Python workers that can't import it from their own path."""
+    app = spark.sparkContext.applicationId
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if app in _shipped or os.getcwd() == ROOT or ROOT in {os.path.abspath(p) for p in paths if p}:
+        return
+    to = os.path.join(tempfile.mkdtemp(prefix="earshot-"), "earshot_package.zip")
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(os.path.join(ROOT, "earshot")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, ROOT))
+    spark.sparkContext.addPyFile(to)
+    _shipped.add(app)
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only a session in one process may do without: it has a local one."""

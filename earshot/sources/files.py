@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import io
 import json
 import re
@@ -9,30 +10,81 @@ import struct
 import tarfile
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from earshot.plans.scratch import ship
+from earshot.sources.models import opened
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (user_uuid, line_no, line) of tar files with one zstd-compressed text per user, archive by archive in tasks."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+
+#: Bytes of text that a batch of lines holds.
+TEXT = 1 << 23
+
+
+def read_archive(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows (user_uuid, line_no, line) of tar files with one zstd-compressed text per user.
+
+    One task per archive walks its headers, seeking over the contents; then members are dealt over tasks, each of which
+    reads its members' bytes at their places and decompresses them as a stream. So an archive may have any size.
+    """
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found: list[tuple] = []
+                with opened(path) as f, tarfile.open(fileobj=f, mode="r:") as tar:
+                    for m in tar:
+                        if m.isfile() and m.name.endswith(".txt.zst"):
+                            found.append((path, m.name.rsplit("/", 1)[-1][: -len(".txt.zst")], m.offset_data, m.size))
+                        tar.members = []
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["path", "user_uuid", "at", "size"])
+
+    def lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for batch in batches:
-            for content in batch.column(0):
-                with tarfile.open(fileobj=io.BytesIO(content.as_py())) as tar:
-                    for m in sorted((m for m in tar.getmembers() if m.name.endswith(".txt.zst")), key=lambda m: m.name):
-                        text = zstandard.ZstdDecompressor().stream_reader(tar.extractfile(m)).read().decode("utf-8", "replace")
-                        rows = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
-                        user = m.name.rsplit("/", 1)[-1][: -len(".txt.zst")]
-                        yield pa.RecordBatch.from_pydict({"user_uuid": [user] * len(rows), "line_no": pa.array([i for i, _ in rows], pa.int64()), "line": pa.array([x for _, x in rows], pa.string())})
+        def rows(user: str, held: list[tuple[int, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"user_uuid": [user] * len(held), "line_no": pa.array([i for i, _ in held], pa.int64()), "line": pa.array([x for _, x in held], pa.string())})
 
-    return files.mapInArrow(members, "user_uuid string, line_no bigint, line string")
+        for batch in batches:
+            for r in batch.to_pylist():
+                with opened(r["path"]) as f:
+                    f.seek(r["at"])
+                    held, size = [], 0
+                    part = io.BytesIO(f.read(r["size"])) if r["size"] <= TEXT else _Part(f, r["size"])
+                    text = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(part, read_across_frames=True), "utf-8", "replace", newline="\n")
+                    for i, line in enumerate(text):
+                        line = line.rstrip("\n")
+                        if line.strip():
+                            held.append((i, line))
+                            size += len(line)
+                        if size >= TEXT:
+                            yield rows(r["user_uuid"], held)
+                            held, size = [], 0
+                    yield rows(r["user_uuid"], held)
+
+    ship(spark)
+    archives = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    found = archives.mapInArrow(members, "path string, user_uuid string, at bigint, size bigint")
+    return found.repartition(F.col("path"), F.col("user_uuid")).mapInArrow(lines, "user_uuid string, line_no bigint, line string")
+
+
+class _Part(io.RawIOBase):
+    """The next n bytes of a file."""
+
+    def __init__(self, f, n: int):
+        self.f, self.left = f, n
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, to) -> int:
+        got = self.f.read(min(len(to), self.left))
+        self.left -= len(got)
+        to[: len(got)] = got
+        return len(got)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,10 +94,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_users(lines: DataFrame) -> DataFrame:
-    """(user_uuid, usr): users numbered from 0 in the order of their names; the window is over distinct users only."""
+    """(user_uuid, usr): users numbered from 0 in the order of their names, by ranges of names, so no task sorts them all."""
     from pyspark.sql import Window
 
-    return lines.select("user_uuid").distinct().withColumn("usr", (F.row_number().over(Window.orderBy("user_uuid")) - 1).cast("int"))
+    users = lines.select("user_uuid").distinct().withColumn("head", F.substring("user_uuid", 1, 4))
+    before = users.groupBy("head").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("head")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("head").orderBy("user_uuid")) - 1
+    return users.withColumn("place", place).join(before, "head").select("user_uuid", (F.col("place") + F.col("before")).cast("int").alias("usr"))
 
 
 EXPORT = T.ArrayType(
@@ -85,45 +140,111 @@ def profile_json(state: DataFrame, created_at: float, exploration: float = 0.3)
     return made.select("usr", F.to_json(F.struct("item_counts", "last_seen_ts", "weighted_scores", F.lit(created_at).alias("created_at"), F.lit(exploration).alias("exploration"))).alias("profile"))
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (item, embedding) of a .npy matrix whose row number is the item."""
-    m = np.load(path).astype(np.float32)
-    table = pa.table({"item": pa.array(np.arange(len(m), dtype=np.int32)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(m.reshape(-1)), m.shape[1]).cast(pa.list_(pa.float32()))})
-    return spark.createDataFrame(table)
+def write_listens(df: DataFrame, path: str) -> None:
+    """Events clustered by user and time, zstd, without dictionaries."""
+    df.repartition("usr").sortWithinPartitions("usr", "ts").write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+
 
+#: A record of the index: 16 key bytes and a little-endian number.
+RECORD, RECORD_SIZE = "<16sI", 20
 
-def read_quantized(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(item, codes) and (subspace, code, centroid) of a .npz model."""
-    z = np.load(path)
-    codes, books = z["codes"], z["centroids"] if "centroids" in z else z["codebooks"]
-    items = z["item_ids"] if "item_ids" in z else np.arange(len(codes))
-    rows = pa.table({"item": pa.array(items.astype(np.int32)), "codes": pa.array([c.astype(np.int16).tolist() for c in codes], pa.list_(pa.int16()))})
-    flat = [(s, c, books[s, c].astype(float).tolist()) for s in range(books.shape[0]) for c in range(books.shape[1])]
-    return spark.createDataFrame(rows), spark.createDataFrame(flat, "subspace int, code int, centroid array<double>")
 
+def pack_records(keys: list[bytes], items: list[int]) -> bytes:
+    return b"".join(struct.pack(RECORD, k, i) for k, i in zip(keys, items, strict=True))
 
-def write_listens(df: DataFrame, path: str) -> None:
-    """Events clustered by user and time, zstd, without dictionaries."""
-    df.repartition("usr").sortWithinPartitions("usr", "ts").write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+
+def unpack_record(record: bytes) -> tuple[bytes, int]:
+    return struct.unpack(RECORD, bytes(record))
+
+
+def write_index(vocab: DataFrame, folder: str) -> None:
+    """The binary index of a vocabulary (mbid_bytes, item): sorted records of 16 key bytes and a little-endian number.
+
+    Tasks write a file each, of a range of keys, named in their order, so the files on end are one sorted index.
+    """
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, inner = pafs.FileSystem.from_uri(folder)
+        system.create_dir(inner)
+        part = TaskContext.get().partitionId()
+        n = 0
+        # a task that runs again writes the same bytes under the same name
+        with system.open_output_stream(f"{inner}/part-{part:05d}.bin") as out:
+            for batch in batches:
+                out.write(pack_records(*[c.to_pylist() for c in batch.columns]))
+                n += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64())})
+
+    ship(vocab.sparkSession)
+    rows = vocab.select("mbid_bytes", F.col("item").cast("bigint")).repartitionByRange("mbid_bytes").sortWithinPartitions("mbid_bytes")
+    rows.mapInArrow(write, "part int, n bigint").agg(F.sum("n")).collect()
+
+
+def index_files(folder: str) -> list[str]:
+    """The index's files in the order of their keys."""
+    system, inner = pafs.FileSystem.from_uri(folder)
+    found = [f for f in system.get_file_info(pafs.FileSelector(inner)) if f.path.endswith(".bin")]
+    for f in found:
+        if f.size % RECORD_SIZE:
+            raise ValueError("not a whole number of records")
+    return [folder.split("://")[0] + "://" + f.path for f in sorted(found, key=lambda f: f.path) if f.size]
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (mbid_bytes, item) of an index; files are split over tasks at records."""
+    ship(spark)
+    index_files(folder)
+    records = spark.sparkContext.binaryRecords(f"{folder}/*.bin", RECORD_SIZE)
+    return spark.createDataFrame(records.map(unpack_record), "mbid_bytes binary, item bigint")
+
+
+class Resolver:
+    """Point look-ups by binary search in an index's files, of which only the records on the way are read."""
+
+    def __init__(self, folder: str):
+        self.files = [opened(p) for p in index_files(folder)]
+        self.sizes = [f.size() // RECORD_SIZE for f in self.files]
+        self.firsts = [self.record(f, 0)[0] for f in self.files]
+
+    def __len__(self) -> int:
+        return sum(self.sizes)
+
+    @staticmethod
+    def record(f, i: int) -> tuple[bytes, int]:
+        f.seek(i * RECORD_SIZE)
+        return unpack_record(f.read(RECORD_SIZE))
+
+    def resolve(self, text: str) -> int | None:
+        """The item of an identifier; None for an unknown or malformed one."""
+        key = uuid_bytes(text)
+        part = bisect.bisect_right(self.firsts, key) - 1 if key is not None else -1
+        if part < 0:
+            return None
+        at = bisect.bisect_left(range(self.sizes[part]), key, key=lambda i: self.record(self.files[part], i)[0])
+        found = self.record(self.files[part], at) if at < self.sizes[part] else (None, None)
+        return found[1] if found[0] == key else None
 
 
-RECORD = struct.Struct("<16sI")
+def resolved(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows (mbid, item) of all identifiers, item null where unknown; an equi-join, for many at once."""
+    good = F.col("mbid").rlike(UUID)
+    key = F.when(good, F.unhex(F.regexp_replace("mbid", "-", "")))
+    return keys.select("mbid", key.alias("k")).join(index.select(F.col("mbid_bytes").alias("k"), "item"), "k", "left").select("mbid", "item")
 
 
-def index_bytes(vocab: DataFrame) -> bytes:
-    """The binary index of a vocabulary (mbid_bytes, item): sorted records of 16 key bytes and a little-endian number."""
-    return b"".join(RECORD.pack(bytes(r["mbid_bytes"]), r["item"]) for r in vocab.orderBy("mbid_bytes").toLocalIterator())
+def misses(found: DataFrame) -> DataFrame:
+    """Numbers of distinct identifiers found and not found."""
+    return found.distinct().agg(F.count("item").alias("n_found"), F.sum(F.col("item").isNull().cast("bigint")).alias("n_missing"))
 
 
-def read_index(data: bytes) -> list[tuple[bytes, int]]:
-    if len(data) % RECORD.size:
-        raise ValueError("not a whole number of records")
-    return list(RECORD.iter_unpack(data))
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
 def uuid_bytes(text: str) -> bytes | None:
     """The 16 bytes of an identifier, or None if it is malformed."""
-    if not re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", text or ""):
+    if not re.fullmatch(UUID[1:-1], text or ""):
         return None
     return bytes.fromhex(text.replace("-", ""))
 

@@ -1,7 +1,10 @@
 """Profile and rhythm state as Structured Streaming aggregates.
 
 Counts, maxima and sums don't depend on the order of events, so late events are absorbed and no watermark is needed; the
-state is one row per user and item (or user and hour). Decay is applied when the state is read.
+state is one row per user and item (or user and hour or weekday). Decay is applied when the state is read.
+
+A batch writes the rows that it changed to a folder of its own, overwritten if the batch runs again; the state is the
+newest row of each key. It is read from the folders, so a restart, with or without new events, gives it in full.
 """
 
 from __future__ import annotations
@@ -40,19 +43,34 @@ def profile_state(events: DataFrame) -> DataFrame:
 
 
 def rhythm_state(events: DataFrame) -> DataFrame:
-    """Listens per user and hour of the day."""
-    return observed(events).groupBy("usr", F.expr("CAST((ts DIV 3600) % 24 AS INT)").alias("hour")).agg(F.count("*").alias("n"))
+    """Listens per user and hour of the day, and per user and weekday (Monday is 0)."""
+    both = F.expr("explode(array(struct('hour' AS kind, CAST((ts DIV 3600) % 24 AS INT) AS bucket), struct('day' AS kind, CAST((ts DIV 86400 + 3) % 7 AS INT) AS bucket)))")
+    return observed(events).withColumn("x", both).groupBy("usr", F.col("x.kind").alias("kind"), F.col("x.bucket").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+#: Columns that tell the rows of a state apart.
+KEYS = {profile_state: ("usr", "item"), rhythm_state: ("usr", "kind", "bucket")}
+
+
+def read_state(spark: SparkSession, checkpoint: str, state=profile_state) -> DataFrame:
+    """The newest row of each key among those that the batches wrote."""
+    kind = state(spark.createDataFrame([], EVENT_TYPE)).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/state")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], kind)
+    rows = spark.read.schema(T.StructType([*kind.fields, T.StructField("batch", T.LongType())])).parquet(f"{checkpoint}/state")
+    keys = KEYS[state]
+    values = [f.name for f in kind if f.name not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*").select(*kind.names)
 
 
 def run_stream(spark: SparkSession, path: str, checkpoint: str, state=profile_state) -> DataFrame:
-    """Runs the state over a folder of event files until all are read; the state after the last batch, as a table."""
-    last: list[str] = []
+    """Runs the state over a folder of event files until all are read, and gives the state."""
 
     def keep(df: DataFrame, batch: int) -> None:
-        last[:] = [f"{checkpoint}/state/{batch}"]
-        df.write.mode("overwrite").parquet(last[0])
+        df.write.mode("overwrite").parquet(f"{checkpoint}/state/batch={batch}")
 
     source = spark.readStream.schema(EVENT_TYPE).option("maxFilesPerTrigger", 64).parquet(path)
-    query = state(source).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start()
+    query = state(source).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(last[0]) if last else spark.createDataFrame([], state(spark.createDataFrame([], EVENT_TYPE)).schema)
+    return read_state(spark, checkpoint, state)

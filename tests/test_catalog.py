@@ -1,13 +1,16 @@
-"""Every query of the catalogue against DuckDB, and the golden values of the serving path."""
+"""Every query of the catalogue against SQL of its own in DuckDB, golden values of the serving path, and plans."""
 
+import datetime as dt
 import decimal
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import earshot.operators  # noqa: F401
-from earshot.plans import catalog, flagship
+from earshot.operators import grid, vectors
+from earshot.plans import catalog, flagship, oracles
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not there")
@@ -36,14 +39,123 @@ def compare(df, con, sql):
     assert got == want
 
 
-FAST = [n for n in catalog.QUERIES if not n.startswith(("met_", "scr_decay_step"))] + ["met_ranking", "met_coverage", "met_global_split", "set_jaccard"]
-
-
-@pytest.mark.parametrize("name", sorted(set(FAST)))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     compare(catalog.run(spark, DATA, name), con, catalog.oracle(name))
 
 
+def test_every_query_has_sql_of_its_own():
+    assert set(catalog.QUERIES) <= set(oracles.ORACLES)
+
+
+def test_frames_are_written_once_and_again_for_other_files(spark, tmp_path):
+    for k, n in enumerate((40, 60)):
+        rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i % 2, "view", 0.0, '{"k": %d}' % (i % 3)) for i in range(n)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("overwrite").parquet(f"file://{tmp_path}/events.parquet")
+        before = len(catalog._views)
+        assert catalog.run(spark, f"file://{tmp_path}", "win_assign_splits").count() == n
+        made = len(catalog._views) - before
+        catalog.run(spark, f"file://{tmp_path}", "agg_split_stats").collect()
+        held = len(catalog._views)
+        catalog.run(spark, f"file://{tmp_path}", "agg_split_stats").collect()
+        assert made == 2 and len(catalog._views) == held
+        os.utime(tmp_path / "events.parquet", (k, k))
+
+
+def test_a_users_own_views_stay(spark):
+    spark.range(3).createOrReplaceTempView("events")
+    catalog.run(spark, DATA, "agg_user_span").collect()
+    assert spark.table("events").count() == 3
+    spark.catalog.dropTempView("events")
+
+
+def test_plans(spark):
+    """Evaluation reads written frames; nothing broadcasts a side that grows in a nested loop, and no anti join is null-aware."""
+    for name in ("met_ranking", "met_per_user", "met_calibration", "met_coverage", "set_missing_users", "set_known_cold", "vec_exact_topk", "pq_adc_dot", "win_vocab_v1", "agg_same_brand_rate"):
+        plan = catalog.run(spark, DATA, name)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") < 10 and "CartesianProduct" not in plan, name
+        if name not in ("win_vocab_v1", "met_coverage", "agg_same_brand_rate"):
+            # but for sums over all rows, and numbers of ranges, no task takes everything
+            assert "Exchange SinglePartition" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan and "null-aware" not in plan.lower(), name
+
+
+def test_numbered_like_one_sort(spark):
+    from earshot.operators.prep import numbered
+
+    spark.range(2000).selectExpr("id AS item", "1 + pmod(hash(id), 300) AS n").createOrReplaceTempView("numbers_in")
+    got = spark.sql(numbered("SELECT item, n FROM numbers_in", "n DESC, item", "n")).collect()
+    want = sorted(((r.n, r.item) for r in got), key=lambda x: (-x[0], x[1]))
+    assert [(r.n, r.item) for r in sorted(got, key=lambda r: r.rnk)] == want and sorted(r.rnk for r in got) == list(range(1, 2001))
+    spark.catalog.dropTempView("numbers_in")
+
+
+def test_best_of_each_row_takes_the_first_at_ties():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        s = rng.integers(0, 4, size=(3, 9)).astype(float)
+        for k in (1, 4, 9, 12):
+            row, col = grid.best(s, k)
+            for r in range(3):
+                assert sorted(col[row == r]) == sorted(np.lexsort((np.arange(9), -s[r]))[:k])
+
+
+def test_products_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(grid, "USERS", 3)
+    monkeypatch.setattr(grid, "ITEMS", 5)
+    rng = np.random.default_rng(0)
+    u, v = rng.normal(size=(10, 4)), rng.normal(size=(23, 4))
+    users = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(u)], "usr long, v array<double>")
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item int, v array<double>")
+    s = np.round(u @ v.T, 9)
+    got = {(r.usr, r.rank0): (r.item, r.score) for r in grid.top_scores(users, items, 6).collect()}
+    assert got == {(i, k): (j, s[i, j]) for i in range(10) for k, j in enumerate(np.argsort(-s[i])[:6])}
+    # ten items played of which some may only come last
+    played = users.selectExpr("usr", "v", "0.5e0 AS w", "array(0, 2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22) AS items", "transform(array(0, 2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22), x -> x + 1e0) AS repeat")
+    rows = grid.blended(played, items, 15, 0.7, 0.3, True).collect()
+    for i in range(10):
+        mine = sorted((r for r in rows if r.usr == i), key=lambda r: r.rank0)
+        x = (u @ v.T)[i]
+        x = np.round(0.3 * (x - x.min()) / (x.max() - x.min()), 9)
+        free = sorted(range(1, 23, 2), key=lambda j: (-x[j], j))
+        assert [r.item for r in mine] == free + [0, 2, 4, 6] and [r.score for r in mine][11:] == [-1.0] * 4 and [r.played for r in mine] == [0] * 11 + [1] * 4
+
+
+def test_codebooks_against_plain_iterations(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 8))
+    got = vectors.fitted(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "item int, v array<double>"), 2, 16, 4)
+    order = sorted(range(120), key=lambda i: (i * 7919 % 1000003, i))
+    for s in range(2):
+        part = x[:, 4 * s : 4 * s + 4]
+        c = part[order[:16]]
+        for step in range(4):
+            code = np.round(((part[:, None] - c[None]) ** 2).sum(axis=2), 12).argmin(axis=1)
+            c = np.array([np.round(part[code == k].mean(axis=0), 12) if (code == k).any() else part[order[(step * 16 + k) % 120]] for k in range(16)])
+        assert np.allclose(got[s], c, atol=1e-9)
+
+
+#: Values worked out by hand from the definitions of the serving path.
+def test_golden_values(spark, tmp_path):
+    now, day = 1706745600, 86400
+    kinds = {"view": 1.0, "purchase": 2.0, "signup": 1.5, "click": 0.3, "error": 0.0}
+    # user 1 plays item 1 twice (now and half a life ago is one row: the last time counts), item 2 by every signal once
+    events = [(1, now, "view", 1), (1, now - 90 * day, "view", 1)] + [(1, now - 180 * day, e, 2) for e in kinds] + [(2, now + 50 * day, "purchase", 3)]
+    rows = [(i, dt.datetime.fromtimestamp(t, dt.UTC).replace(tzinfo=None), u, e, 0.0, '{"k": %d}' % k) for i, (u, t, e, k) in enumerate(events)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"file://{tmp_path}/events.parquet")
+    folder = f"file://{tmp_path}"
+    state = {(r.usr, r.item): (r.n, r.wscore) for r in catalog.run(spark, folder, "srv_profile_state").collect()}
+    assert state == {(1, 1): (2, 2.0), (1, 2): (5, 4.8), (2, 3): (1, 2.0)}
+    scores = {(r.usr, r.item): r.score for r in catalog.run(spark, folder, "srv_decay_scores").collect()}
+    # a quarter after two half-lives; an event in the future isn't scored above its weight
+    assert scores == {(1, 1): 2.0, (1, 2): 1.2, (2, 3): 2.0}
+    # 2024-02-01 00:00 is a Thursday: day 3, hour 0. All of user 1's listens are at midnight, two on a Thursday
+    weekday = {t: (t // day + 3) % 7 for _, t, *_ in events}
+    share = sum(weekday[t] == 3 for u, t, *_ in events if u == 1) / 7
+    weight = {r.usr: r.w for r in catalog.run(spark, folder, "srv_context_weight").collect()}
+    assert abs(weight[1] - (0.9 + 0.2 * (0.7 * 1.0 + 0.3 * share))) < 1e-8
+
+
 def test_flagship(spark, con):
     compare(flagship.decayed_top(spark, DATA), con, flagship.ORACLE)
 
