@@ -4,46 +4,22 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.plans.scratch import discard, gathered  # noqa: F401
+from earshot.plans.scratch import discard, gathered, ship  # noqa: F401
 from earshot.plans.scratch import new_path as scratch  # noqa: F401
 from earshot.plans.scratch import written as cut
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-_shipped: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark alone, so any store that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to Python workers that can't import it from their own path."""
-    app = spark.sparkContext.applicationId
-    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if app in _shipped or os.getcwd() == ROOT or ROOT in {os.path.abspath(p) for p in paths if p}:
-        return
-    to = os.path.join(tempfile.mkdtemp(prefix="earshot-"), "earshot_package.zip")
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, names in os.walk(os.path.join(ROOT, "earshot")):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, ROOT))
-    spark.sparkContext.addPyFile(to)
-    _shipped.add(app)
-
-
 def arrow(function, kind: str):
     """An Arrow function over columns; marked so that the optimizer never evaluates it twice for a row."""
     return F.arrow_udf(function, kind).asNondeterministic()

@@ -28,7 +28,7 @@ REPEATS = 2
 #: Parts that the seeded order of a pattern is dealt into; a window sorts one part.
 PARTS_HEX = 3
 #: Most patterns and sources that the driver solves a flow for. It is an error to have more, not a cut.
-MOST_NODES = 200_000
+MOST_NODES = 10_000
 
 
 def words(text: str = "text") -> Column:

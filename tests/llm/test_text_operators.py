@@ -141,13 +141,6 @@ def test_bpe(docs, empty):
     assert both.where("coalesce(text, '') <> decode(decoded, 'UTF-8')").count() == 0 and set(docs.columns) <= set(both.columns)
 
 
-def test_heap_merges_like_the_fold():
-    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for w in ("a" * 999, "abcab" * 200, "the quick" * 50):
-        assert bpe.heap_merges(w.encode(), ranks) == enc._encode_single_piece(w.encode())
-
-
 def test_secrets(docs, empty):
     rows = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
     text = HOSTILE[9][1]
