@@ -10,7 +10,7 @@ The footer is four little-endian 64-bit integers (place and size of the two inde
 manifest, one row per file, is what the writing job returns: a file of a failed or repeated attempt is in no manifest.
 
 Cases: a null or empty text is the end id alone; texts of any length are encoded whole; equal doc_ids keep all their
-rows, ordered by text; null doc_ids come first; an empty table gives no rows; other columns are ignored.
+rows, ordered by a hash of the text; null doc_ids come first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from earshot.llm.common import scratch, ship
 MAGIC = b"EPL1"
 BLOCK = 1 << 16
 END_ID = 2
+#: Bytes of text for a file, and most files (they grow beyond that).
+FILE, MOST_FILES = 1 << 27, 100_000
 LEVEL = 3
 #: Distinct chunks whose ids a Python worker remembers; then it forgets the older half.
 CACHE = 2_000_000
@@ -271,12 +273,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, bits: bool = False,
     """
     spark = docs.sparkSession
     ship(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_FILES, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE)))
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = writer = path = None
-        first = is_null = None
+        first = first_hash = None
         for batch in batches:
             for begin, upto in slices(batch.column(1)):
                 part = batch.slice(begin, upto - begin)
@@ -286,7 +288,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, bits: bool = False,
                     path = f"{base}/{uuid.uuid4().hex}.epl"
                     out = system.open_output_stream(path)
                     writer = Writer(out, bits)
-                    first, is_null = part.column(0)[0].as_py(), part.column(0)[0].as_py() is None
+                    first, first_hash = part.column(0)[0].as_py(), part.column(2)[0].as_py()
                 ids, counts = encoder(tokenizer).encode(part.column(1))
                 raw, at = ids.tobytes(), 0
                 for doc, n_ids in zip(part.column(0).to_pylist(), (4 * counts).tolist(), strict=True):
@@ -296,12 +298,14 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, bits: bool = False,
             n_docs, n_ids = writer.close()
             out.close()
             size = _files(folder)[0].get_file_info(path).size
-            yield pa.RecordBatch.from_pydict({"path": [path], "size": [size], "first": pa.array([None if is_null else first], pa.int64()), "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield pa.RecordBatch.from_pydict({"path": [path], "size": [size], "first": pa.array([first], pa.int64()), "first_hash": [first_hash], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows = ordered.mapInArrow(write, "path string, size bigint, first bigint, n_docs bigint, n_ids bigint").collect()
+    # many rows of one doc_id (as of null) are dealt by their texts' hashes too
+    order = (F.col("doc_id").asc_nulls_first(), "h", "text")
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h")).repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    rows = ordered.mapInArrow(write, "path string, size bigint, first bigint, first_hash bigint, n_docs bigint, n_ids bigint").collect()
     out, start = [], 0
-    for r in sorted((r.asDict() for r in rows), key=lambda r: (r["first"] is not None, r["first"] or 0)):
+    for r in sorted((r.asDict() for r in rows), key=lambda r: (r["first"] is not None, r["first"] or 0, r["first_hash"])):
         out.append(r | {"start": start})
         start += r["n_ids"]
     return out
