@@ -2,8 +2,9 @@
 
 Vectors are normalised in double precision; equal ones are one node with a weight. The second-moment matrix (one small
 sum per task) gives an orthonormal basis; coordinates in descending eigenvalue order put most of a product into the
-first few. Nodes are dealt into tiles by their leading coordinates; a tile is one packed row with its box. For tile
-pairs whose boxes allow the threshold, the product is accumulated over growing runs of leading dimensions, and a pair
+first few. Nodes are dealt into leaves by their leading coordinates, and leaves into tiles; a tile is one packed row with
+its box. Tile pairs whose boxes allow the threshold meet; of their blocks, leaf by leaf, those whose boxes do are
+compared: the product is accumulated over growing runs of leading dimensions, and a pair
 of vectors is dropped as soon as what it has plus the product of its suffix norms stays below the threshold. Pairs that
 survive are decided by the cosine of the given vectors in double precision. A tile pair emits, per node, a count of
 links, and a spanning forest of them, so a dense group of m vectors gives rows in proportion to m per pair of tiles.
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from earshot.llm.common import components, cut, ship
 
 THRESHOLD = 0.9
-#: Nodes in a tile, on average.
-TILE = 4096
+#: Nodes in a tile, on average, and in a leaf. What is shuffled falls with the size of a tile, what is compared with
+#: that of a leaf.
+TILE, LEAF = 16384, 1024
 #: Most tiles, whose boxes (2 x dimensions x 8 bytes each) are broadcast; more vectors make larger tiles.
 MOST_TILES = 20_000
 #: Leading dimensions after which pairs are dropped.
@@ -162,7 +164,15 @@ def surviving(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarra
     return i, j
 
 
-def _compare(threshold: float, turn: np.ndarray, step: int = 1024):
+def apart(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]], far: float) -> np.ndarray:
+    """For each box (low, high) of one list and of another, whether they are too far apart for a link."""
+    low, high = (np.array([x[k] for x in a])[:, None] for k in range(2))
+    low_b, high_b = (np.array([x[k] for x in b])[None] for k in range(2))
+    gap = np.maximum(0, np.maximum(low - high_b, low_b - high))
+    return (gap * gap).sum(axis=2) > far
+
+
+def _compare(threshold: float, turn: np.ndarray, step: int = LEAF):
     """Links between the vectors of tile pairs: rows (kind 0, node, links, 0) and forest edges (kind 1, a, 0, b)."""
 
     dim = turn.shape[0]
@@ -177,8 +187,12 @@ def _compare(threshold: float, turn: np.ndarray, step: int = 1024):
                 same = r["a"] == r["b"]
                 links = [np.zeros(len(i), np.int64) for i in ids]
                 ea, eb = [], []
+                boxes = [[(y[k : k + step].min(axis=0), y[k : k + step].max(axis=0)) for k in range(0, len(y), step)] for y in turned]
+                skip = apart(*boxes, 2 - 2 * threshold + SLACK)
                 for s in range(0, len(ids[0]), step):
                     for t in range(s if same else 0, len(ids[1]), step):
+                        if skip[s // step, t // step]:
+                            continue
                         i, j = surviving(turned[0][s : s + step], turned[1][t : t + step], threshold)
                         i, j = i + s, j + t
                         if same:
@@ -210,7 +224,7 @@ def _compare(threshold: float, turn: np.ndarray, step: int = 1024):
 
 
 def _pack(turn: np.ndarray, tree: list[tuple[int, float]], tile: int):
-    """Rows (leaf, part, ...) of packed vectors from sorted rows (leaf, node, w, x): at most 2 x tile in one."""
+    """Rows of packed vectors from rows (tile, leaf, node, w, x) sorted by tile and leaf: at most 2 x tile in one."""
     dim = turn.shape[0]
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +249,7 @@ def _pack(turn: np.ndarray, tree: list[tuple[int, float]], tile: int):
                 now = int(leaves[at])
                 for s in range(at, end, tile):
                     rows = batch.slice(s, min(tile, end - s))
-                    held.append((rows.column(1).to_numpy(), rows.column(2).to_numpy(), _matrix(rows.column(3))))
+                    held.append((rows.column(2).to_numpy(), rows.column(3).to_numpy(), _matrix(rows.column(4))))
                     size += rows.num_rows
                     if size >= tile:
                         yield close()
@@ -257,19 +271,22 @@ def links(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, tile: int =
     n = nodes.count()
     tile = max(tile, -(-n // MOST_TILES))
     turn = basis(nodes, dim)
-    tree = cuts(nodes, turn, n, tile)
+    tree = cuts(nodes, turn, n, min(LEAF, tile))
+    # so many levels of the tree, from its leaves up, are one tile
+    up = max(0, min((len(tree) + 1).bit_length() - 1, int(np.log2(tile / min(LEAF, tile)))))
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(2))
             at = leaf(_unit(x) @ turn, tree) if len(x) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *batch.columns], names=["leaf", "node", "w", "x"])
-
-    found = nodes.select("node", "w", "x").mapInArrow(find, "leaf bigint, node bigint, w bigint, x array<double>")
-    # a leaf with many more nodes than a tile (one dense group) is dealt out over several tasks
-    crowd = F.pmod(F.xxhash64("node"), F.lit(16))
-    dealt = found.repartition(F.col("leaf"), crowd) if n > 64 * tile else found.repartition(F.col("leaf"))
-    tiles = cut(dealt.sortWithinPartitions("leaf").mapInArrow(_pack(turn, tree, tile), TILE_TYPE), "tiles")
+            yield pa.RecordBatch.from_arrays([pa.array(at >> up, pa.int64()), pa.array(at, pa.int64()), *batch.columns], names=["tile", "leaf", "node", "w", "x"])
+
+    found = nodes.select("node", "w", "x").mapInArrow(find, "tile bigint, leaf bigint, node bigint, w bigint, x array<double>")
+    # a tile's place with more nodes than two tiles hold (one dense group) is dealt out over several tasks
+    crowds = found.groupBy("tile").agg(F.count("*").alias("k")).select("tile", F.ceil(F.col("k") / F.lit(2 * tile)).cast("int").alias("parts"))
+    dealt = found.join(crowds, "tile").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = dealt.repartition(F.col("tile"), F.col("part")).sortWithinPartitions("tile", "leaf").select("tile", "leaf", "node", "w", "x")
+    tiles = cut(dealt.mapInArrow(_pack(turn, tree, tile), TILE_TYPE), "tiles")
     boxes = [(r["path"], r["low"], r["high"]) for r in tiles.select(F.md5("ids").alias("path"), "low", "high").collect()]
     boxes.sort()
     low, high = (np.array([b[k] for b in boxes]).reshape(len(boxes), dim) for k in (1, 2))
