@@ -127,8 +127,8 @@ def agg_sensitivity_hour(d):
 
 @query
 def flt_uuid_bytes(d):
-    back = "lower(hex(unhex(replace(u, '-', ''))))"
-    return f"SELECT DISTINCT item, u, {back} AS hex16 FROM (SELECT item, {uuid_text('mbid')} AS u FROM listens) AS x"
+    """The sixteen bytes of each identifier, as hex digits; null for a malformed one."""
+    return f"SELECT DISTINCT recording AS u, CASE WHEN {d.matches('recording', UUID)} THEN lower(hex(unhex(replace(recording, '-', '')))) END AS hex16 FROM parsed"
 
 
 @query
@@ -153,10 +153,11 @@ def dst_expected(d):
     SELECT 'rows' AS name, (SELECT count(*) FROM clean) AS found, (SELECT count(DISTINCT concat(CAST(usr AS VARCHAR(20)), ':', CAST(ts AS VARCHAR(20)), ':', recording)) FROM judged WHERE reason IS NULL) AS expected, 0e0 AS slack
     UNION ALL SELECT 'users' AS name, (SELECT count(DISTINCT usr) FROM clean) AS found, (SELECT count(DISTINCT usr) FROM listens) AS expected, 0e0 AS slack
     UNION ALL SELECT 'items' AS name, (SELECT count(DISTINCT recording) FROM clean) AS found, (SELECT count(DISTINCT mbid) FROM listens) AS expected, 0e0 AS slack
+    UNION ALL SELECT 'mapped' AS name, (SELECT count(a.mbid) FROM vocab_train AS t LEFT JOIN vocab_all AS a ON a.mbid = t.mbid) AS found, (SELECT count(*) FROM vocab_train) AS expected, 0e0 AS slack
     UNION ALL SELECT 'vocabulary' AS name, (SELECT count(*) FROM vocab_train) AS found, (SELECT count(*) FROM vocab_all) AS expected, 0.01e0 AS slack) AS e"""
 
 
 @query
 def src_schema_discovery(d):
     kind = f"CASE WHEN v = '' THEN 'empty' WHEN {d.matches('v', UUID)} THEN 'uuid' WHEN {d.matches('v', '^[+-]?[0-9]+$')} THEN 'int' ELSE 'text' END"
-    return f"SELECT col, {kind} AS kind, count(*) AS n FROM (SELECT 0 AS col, ts_text AS v FROM parsed UNION ALL SELECT 1 AS col, artists AS v FROM parsed UNION ALL SELECT 2 AS col, release_id AS v FROM parsed UNION ALL SELECT 3 AS col, recording AS v FROM parsed) AS x GROUP BY col, {kind}"
+    return f"SELECT col, {kind} AS kind, count(*) AS n, min({d.try_int('v')}) AS least, max({d.try_int('v')}) AS most FROM (SELECT 0 AS col, ts_text AS v FROM parsed UNION ALL SELECT 1 AS col, artists AS v FROM parsed UNION ALL SELECT 2 AS col, release_id AS v FROM parsed UNION ALL SELECT 3 AS col, recording AS v FROM parsed) AS x GROUP BY col, {kind}"

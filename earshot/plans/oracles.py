@@ -213,7 +213,7 @@ ORACLES: dict[str, str] = {
     "flt_reject_examples": _text("SELECT why AS reason, row_number() OVER o AS k, u AS usr, line FROM verdicts WHERE why IS NOT NULL WINDOW o AS (PARTITION BY why ORDER BY u, no) QUALIFY k < 4"),
     "flt_release_null_out": _text(f"SELECT count(*) AS n, count(*) FILTER (rel <> '' AND NOT ({UUID.format('rel')}))::BIGINT AS n_malformed_release FROM verdicts WHERE coalesce(why, 'no_recording_mbid') = 'no_recording_mbid'"),
     "flt_artist_lists": _text(f"SELECT CASE WHEN trim(artists) = '' THEN 'absent' WHEN len(list_filter(str_split(trim(artists), ','), lambda a: NOT ({UUID.format('trim(a)')}))) = 0 THEN 'ids' ELSE 'malformed' END AS kind, count(*) AS n FROM fields WHERE n > 1 GROUP BY ALL"),
-    "flt_uuid_bytes": _text("SELECT DISTINCT i AS item, mb::UUID::VARCHAR AS u, mb AS hex16 FROM ev"),
+    "flt_uuid_bytes": _text(f"SELECT DISTINCT rec AS u, CASE WHEN {UUID.format('rec')} THEN lower(replace(rec::VARCHAR, '-', '')) END AS hex16 FROM fields"),
     "set_dedup": _text(f"SELECT u AS usr, no AS line_no, t AS ts, rec AS recording, CASE WHEN {UUID.format('rel')} THEN rel END AS release_id FROM good"),
     "agg_coverage": _text("SELECT round(100 * avg((why IS NULL)::INT), 4) AS pct_valid, count(DISTINCT u) AS n_users, count(DISTINCT u) FILTER (why IS NULL) AS n_retained FROM verdicts"),
     "agg_noise_flags": _text("SELECT u AS usr, h AS max_hour, d AS max_day, h >= 2 AS is_flood, d >= 2 AS is_repeat FROM hours JOIN days USING (u)"),
@@ -221,8 +221,8 @@ ORACLES: dict[str, str] = {
     "agg_sensitivity_day": _text("SELECT " + ", ".join(f"count(*) FILTER (d > {k}) AS over_{k}" for k in (1, 2, 10, 25, 50, 100, 250)) + " FROM days"),
     "agg_sensitivity_hour": _text("SELECT " + ", ".join(f"count(*) FILTER (m > {k}) AS over_{k}" for k in (1, 2, 100, 250, 500, 1000)) + " FROM (SELECT u, max(n) AS m FROM (SELECT u, count(*) AS n FROM good GROUP BY u, rec, t // 3600) GROUP BY u)"),
     "agg_ts_quality": _text("SELECT count(*) AS n_lines, count(*) - count(t) AS n_unparsable, count(*) FILTER (t < 0) AS n_negative, count(*) FILTER (t < 946684800) AS n_early, count(*) FILTER (t > 1788307200) AS n_future, count(*) FILTER (t > 1788307200 AND t // 1000 BETWEEN 946684800 AND 1788307200) AS n_milliseconds, min(t) AS min_ts, max(t) AS max_ts FROM fields"),
-    "src_schema_discovery": _text(f"SELECT col, CASE WHEN v = '' THEN 'empty' WHEN {UUID.format('v')} THEN 'uuid' WHEN regexp_full_match(v, '[-+]?[0-9]+') THEN 'int' ELSE 'text' END AS kind, count(*) AS n FROM (UNPIVOT (SELECT tt AS \"0\", artists AS \"1\", rel AS \"2\", rec AS \"3\" FROM fields) ON COLUMNS(*) INTO NAME c VALUE v) AS x, (SELECT 1) AS y, LATERAL (SELECT c::INT AS col) AS z GROUP BY ALL"),
-    "dst_expected": _text("SELECT name, found, expected, CASE WHEN found BETWEEN expected * (1 - slack) AND expected * (1 + slack) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT unnest([{'name': 'rows', 'found': (SELECT count(*) FROM good), 'expected': (SELECT count(DISTINCT (u, t, rec)) FROM verdicts WHERE why IS NULL), 'slack': 0.0}, {'name': 'users', 'found': (SELECT count(DISTINCT u) FROM good), 'expected': (SELECT count(*) FROM users), 'slack': 0.0}, {'name': 'items', 'found': (SELECT count(DISTINCT rec) FROM good), 'expected': (SELECT count(*) FROM items), 'slack': 0.0}, {'name': 'vocabulary', 'found': (SELECT count(*) FROM vt), 'expected': (SELECT count(*) FROM va), 'slack': 0.01}], recursive := true))"),
+    "src_schema_discovery": _text(f"SELECT col, CASE WHEN v = '' THEN 'empty' WHEN {UUID.format('v')} THEN 'uuid' WHEN regexp_full_match(v, '[-+]?[0-9]+') THEN 'int' ELSE 'text' END AS kind, count(*) AS n, min(try_cast(v AS BIGINT)) AS least, max(try_cast(v AS BIGINT)) AS most FROM (UNPIVOT (SELECT tt AS \"0\", artists AS \"1\", rel AS \"2\", rec AS \"3\" FROM fields) ON COLUMNS(*) INTO NAME c VALUE v) AS x, (SELECT 1) AS y, LATERAL (SELECT c::INT AS col) AS z GROUP BY ALL"),
+    "dst_expected": _text("SELECT name, found, expected, CASE WHEN found BETWEEN expected * (1 - slack) AND expected * (1 + slack) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT unnest([{'name': 'rows', 'found': (SELECT count(*) FROM good), 'expected': (SELECT count(DISTINCT (u, t, rec)) FROM verdicts WHERE why IS NULL), 'slack': 0.0}, {'name': 'users', 'found': (SELECT count(DISTINCT u) FROM good), 'expected': (SELECT count(*) FROM users), 'slack': 0.0}, {'name': 'items', 'found': (SELECT count(DISTINCT rec) FROM good), 'expected': (SELECT count(*) FROM items), 'slack': 0.0}, {'name': 'mapped', 'found': (SELECT count(*) FROM vt SEMI JOIN va USING (mb)), 'expected': (SELECT count(*) FROM vt), 'slack': 0.0}, {'name': 'vocabulary', 'found': (SELECT count(*) FROM vt), 'expected': (SELECT count(*) FROM va), 'slack': 0.01}], recursive := true))"),
     # vocabularies, splits, cohorts
     "win_vocab_v1": _text("SELECT i AS item, mb AS mbid, n, id AS v1_item_id FROM va"),
     "win_vocab_v2": _text("SELECT i AS item, mb AS mbid, n, id AS item_id FROM vt"),

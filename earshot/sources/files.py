@@ -257,3 +257,15 @@ def contribution(state: DataFrame, consent: bool, n_items: int, max_items: int =
     rows = state.where(F.col("n") >= min_count).orderBy(F.desc("n"), "item").limit(max_items).select("item", "n", *([month] if coarse_time else []))
     items = [{"item_id": r["item"], "count": r["n"]} | ({"last_seen_month": r["last_seen_month"]} if coarse_time else {}) for r in rows.collect()]
     return json.dumps({"schema": "contribution.v1", "n_items": n_items, "items": items})
+
+
+def read_contributions(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (payload, item, n, month) of contribution payloads, a JSON text per file; other schemas are left out."""
+    kind = "schema string, n_items bigint, items array<struct<item_id:int,count:bigint,last_seen_month:string>>"
+    rows = spark.read.text(path, wholetext=True).select(F.xxhash64("value").alias("payload"), F.from_json("value", kind).alias("p")).where(F.col("p.schema") == "contribution.v1")
+    return rows.select("payload", F.explode("p.items").alias("x")).select("payload", F.col("x.item_id").alias("item"), F.col("x.count").alias("n"), F.col("x.last_seen_month").alias("month"))
+
+
+def with_contributions(counts: DataFrame, contributed: DataFrame) -> DataFrame:
+    """Training counts (item, n) with what was contributed added, for the next training."""
+    return counts.select("item", "n").unionByName(contributed.select("item", "n")).groupBy("item").agg(F.sum("n").alias("n"))

@@ -174,6 +174,19 @@ def download(url: str, to: str, md5: str | None = None) -> int:
     return n
 
 
+def sizes_of(urls: Iterable[str]) -> dict[str, int]:
+    """Bytes of each file by its address, from its header; one that can't be reached or tells no size is left out."""
+    out = {}
+    for url in urls:
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, method="HEAD"), timeout=60) as r:
+                if (n := r.headers.get("Content-Length")) is not None:
+                    out[url] = int(n)
+        except OSError:
+            continue
+    return out
+
+
 def largest_under(sizes: dict[str, int], most: int) -> str | None:
     """The name of the largest file of at most so many bytes, the first at ties."""
     fit = [(-n, name) for name, n in sizes.items() if n <= most]

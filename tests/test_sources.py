@@ -112,6 +112,7 @@ def test_manifests_and_inputs(tmp_path, monkeypatch):
     (tmp_path / "a").write_bytes(b"hello")
     url = (tmp_path / "a").as_uri()
     assert models.download(url, str(tmp_path / "b"), "5d41402abc4b2a76b9719d911017c592") == 5 and (tmp_path / "b").read_bytes() == b"hello"
+    assert models.sizes_of([url, (tmp_path / "none").as_uri()]) == {url: 5}
     with pytest.raises(ValueError):
         models.download(url, str(tmp_path / "c"), "0" * 32)
     assert not (tmp_path / "c").exists() and models.find_input([tmp_path], "a") == tmp_path / "a"
@@ -169,6 +170,16 @@ def test_contribution(spark):
     assert "last_seen_month" not in json.loads(files.contribution(state, True, 300, coarse_time=False))["items"][0]
 
 
+def test_contributions_return_to_the_counts(spark, tmp_path):
+    state = spark.createDataFrame([(1, 7, 1710513000), (2, 9, 1710513000)], "item int, n bigint, last_seen bigint")
+    (tmp_path / "a.json").write_text(files.contribution(state, True, 3))
+    (tmp_path / "b.json").write_text(json.dumps({"schema": "other", "items": [{"item_id": 1, "count": 99}]}))
+    got = files.read_contributions(spark, f"file://{tmp_path}/*.json")
+    assert sorted((r.item, r.n, r.month) for r in got.collect()) == [(1, 7, "2024-03"), (2, 9, "2024-03")]
+    counts = files.with_contributions(spark.createDataFrame([(2, 1), (3, 4)], "item int, n bigint"), got)
+    assert sorted(map(tuple, counts.collect())) == [(1, 7), (2, 10), (3, 4)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     import datetime as dt
 
