@@ -174,6 +174,89 @@ def gated(x: np.ndarray, length: np.ndarray, w: dict[str, np.ndarray]) -> np.nda
     return h @ w["proj"].T + w["proj_bias"]
 
 
+def sequence_weights(dim: int, hidden: int, seed: int = 42) -> dict[str, np.ndarray]:
+    """First weights, uniform by the square root of the hidden size."""
+    rng, most = np.random.default_rng(seed), hidden**-0.5
+    shapes = {"weight_ih": (3 * hidden, dim), "weight_hh": (3 * hidden, hidden), "bias_ih": (3 * hidden,), "bias_hh": (3 * hidden,), "proj": (dim, hidden), "proj_bias": (dim,)}
+    return {k: rng.uniform(-most, most, shape) for k, shape in shapes.items()}
+
+
+def sequence_gradients(w: dict[str, np.ndarray], x: np.ndarray, length: np.ndarray, candidates: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean softmax loss of the first candidate (n, k, dim) of each sequence, and the gradients of the weights."""
+    n, hidden = len(x), w["weight_hh"].shape[1]
+    h, steps = np.zeros((n, hidden)), []
+    for t in range(x.shape[1]):
+        a = np.split(x[:, t] @ w["weight_ih"].T + w["bias_ih"], 3, axis=1)
+        b = np.split(h @ w["weight_hh"].T + w["bias_hh"], 3, axis=1)
+        r, z = 1 / (1 + np.exp(-(a[0] + b[0]))), 1 / (1 + np.exp(-(a[1] + b[1])))
+        c = np.tanh(a[2] + r * b[2])
+        live = (t < length)[:, None]
+        steps.append((h, r, z, c, b[2], live))
+        h = np.where(live, (1 - z) * c + z * h, h)
+    logits = np.einsum("nd,nkd->nk", h @ w["proj"].T + w["proj_bias"], candidates)
+    logits -= logits.max(axis=1, keepdims=True)
+    p = np.exp(logits)
+    p /= p.sum(axis=1, keepdims=True)
+    loss = float(-np.log(np.maximum(p[:, 0], 1e-300)).mean())
+    p[:, 0] -= 1
+    out = np.einsum("nk,nkd->nd", p / n, candidates)
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    g["proj"], g["proj_bias"] = out.T @ h, out.sum(axis=0)
+    d = out @ w["proj"]
+    for t in range(x.shape[1] - 1, -1, -1):
+        before, r, z, c, b, live = steps[t]
+        dh = np.where(live, d, 0)
+        dc = dh * (1 - z) * (1 - c * c)
+        dr, dz = dc * b * r * (1 - r), dh * (before - c) * z * (1 - z)
+        da, db = np.hstack([dr, dz, dc]), np.hstack([dr, dz, dc * r])
+        g["weight_ih"] += da.T @ x[:, t]
+        g["weight_hh"] += db.T @ before
+        g["bias_ih"] += da.sum(axis=0)
+        g["bias_hh"] += db.sum(axis=0)
+        d = np.where(live, dh * z, d) + db @ w["weight_hh"]
+    return loss, g
+
+
+def fit_sequence(windows: DataFrame, vectors: np.ndarray, negative_weights: np.ndarray, epochs: int = 2, batch: int = 128, negatives: int = 1024, hidden: int = 128, rate: float = 1e-3, seed: int = 42) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Weights of the recurrent model and the mean loss of each epoch, from rows (context, target) of item places.
+
+    The trainer stands outside Spark: it holds the frozen item vectors (bounded by the catalogue) and takes windows as a
+    stream, partition by partition in an order that differs by epoch, a batch at a time. Of each window the target is
+    told from the other targets of the batch and from drawn items.
+    """
+    rng, w = np.random.default_rng(seed), sequence_weights(vectors.shape[1], hidden, seed)
+    m, s, step, losses = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0, []
+    p = negative_weights / negative_weights.sum()
+
+    def learn(rows: list) -> float:
+        nonlocal step
+        length = np.array([len(r["context"]) for r in rows])
+        x = np.zeros((len(rows), max(1, length.max()), vectors.shape[1]))
+        for i, r in enumerate(rows):
+            x[i, : length[i]] = vectors[r["context"]]
+        target = np.array([r["target"] for r in rows])
+        others = np.array([np.delete(target, i) for i in range(len(rows))]).reshape(len(rows), -1)
+        drawn_ = rng.choice(len(p), (len(rows), negatives), p=p)
+        loss, g = sequence_gradients(w, x, length, vectors[np.hstack([target[:, None], others, drawn_]).astype(np.int64)])
+        step += 1
+        for k in w:
+            m[k] = BETA1 * m[k] + (1 - BETA1) * g[k]
+            s[k] = BETA2 * s[k] + (1 - BETA2) * g[k] ** 2
+            w[k] = w[k] - rate * (m[k] / (1 - BETA1**step)) / (np.sqrt(s[k] / (1 - BETA2**step)) + EPSILON)
+        return loss
+
+    for epoch in range(epochs):
+        total, n, held = 0.0, 0, []
+        for r in windows.select("context", "target").orderBy(F.xxhash64("context", "target", F.lit(epoch))).toLocalIterator():
+            held.append(r)
+            if len(held) == batch:
+                total, n, held = total + learn(held), n + 1, []
+        if len(held) > 1:
+            total, n = total + learn(held), n + 1
+        losses.append(total / max(n, 1))
+    return w, losses
+
+
 def sequence_lists(contexts: DataFrame, vectors: DataFrame, weights: dict[str, np.ndarray], k: int = LIST, longest: int = 50) -> DataFrame:
     """Rows (usr, item, score, rank0) by a trained sequence model, from each user's last items (usr, context: an array, oldest first).
 
