@@ -1,4 +1,4 @@
-"""The expressions of the engine's queries that Spark SQL and DuckDB spell differently."""
+"""Expressions of Spark SQL that the queries share; frames and queries get them as their argument."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from __future__ import annotations
 class Spark:
     """Spark SQL."""
 
-    name = "spark"
-
     def seconds(self, ts: str) -> str:
         return f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))"
 
@@ -17,10 +15,6 @@ class Spark:
     def dot(self, a: str, b: str) -> str:
         return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0e0, (s, x) -> s + x)"
 
-    def flat_dot(self, a: str, b: str, n: int) -> str:
-        """The product of two arrays of n doubles, written out, so that it is compiled rather than interpreted."""
-        return "(" + " + ".join(f"get({a}, {i}) * get({b}, {i})" for i in range(n)) + ")"
-
     def percentile(self, x: str, p: float) -> str:
         return f"percentile({x}, {p}e0)"
 
@@ -55,87 +49,14 @@ class Spark:
         return f"pmod({a}, {b})"
 
     def scale(self, v: str) -> str:
-        """The vector divided by its norm."""
-        return f"transform({v}, x -> CAST(x AS DOUBLE) / (sqrt({self.dot(v, v)}) + 1e-8))"
-
-    def part(self, v: str, start: str, n: int) -> str:
-        return f"slice({v}, {start}, {n})"
+        """The vector divided by its norm, which a one-element transform names, so that it is computed once."""
+        return f"transform(array(sqrt({self.dot(v, v)}) + 1e-8), n -> transform({v}, x -> CAST(x AS DOUBLE) / n))[0]"
 
     def explode(self, v: str, pos: str, val: str, frame: str, keep: str) -> str:
         return f"SELECT {keep}, CAST(p AS INT) AS {pos}, CAST(x AS DOUBLE) AS {val} FROM {frame} LATERAL VIEW posexplode({v}) AS p, x"
 
-    def pair(self, a: str, x: str, b: str, y: str) -> str:
-        """A struct of two fields, ordered by the first and then the second."""
-        return f"named_struct('{a}', {x}, '{b}', {y})"
-
     def collect(self, val: str, pos: str) -> str:
         return f"transform(array_sort(collect_list(struct({pos} AS p, {val} AS x))), s -> s.x)"
 
 
-class DuckDB:
-    """DuckDB SQL."""
-
-    name = "duckdb"
-
-    def seconds(self, ts: str) -> str:
-        return f"(epoch_us({ts}) // 1000000)"
-
-    def json_int(self, doc: str, key: str) -> str:
-        return f"CAST(json_extract_string({doc}, '$.{key}') AS INT)"
-
-    def dot(self, a: str, b: str) -> str:
-        return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
-
-    def flat_dot(self, a: str, b: str, n: int) -> str:
-        return self.dot(a, b)
-
-    def percentile(self, x: str, p: float) -> str:
-        return f"quantile_cont({x}, {p})"
-
-    def idiv(self, a: str, b: str) -> str:
-        return f"CAST(({a}) // ({b}) AS BIGINT)"
-
-    def year(self, s: str) -> str:
-        return f"CAST(year(make_timestamp(CAST({s} AS BIGINT) * 1000000)) AS BIGINT)"
-
-    def month(self, s: str) -> str:
-        return f"strftime(make_timestamp(CAST({s} AS BIGINT) * 1000000), '%Y-%m')"
-
-    def range_rows(self, name: str, n: int) -> str:
-        return f"SELECT CAST(range AS INT) AS {name} FROM range({n})"
-
-    def split(self, x: str, sep: str) -> str:
-        return f"string_split({x}, '{sep}')"
-
-    def at(self, x: str, i: int) -> str:
-        return f"{x}[{i + 1}]"
-
-    def size(self, x: str) -> str:
-        return f"len({x})"
-
-    def matches(self, x: str, pattern: str) -> str:
-        return f"regexp_matches({x}, '{pattern}')"
-
-    def try_int(self, x: str) -> str:
-        return f"try_cast({x} AS BIGINT)"
-
-    def mod(self, a: str, b: int) -> str:
-        return f"(({a}) % {b})"
-
-    def scale(self, v: str) -> str:
-        return f"list_transform({v}, lambda x: CAST(x AS DOUBLE) / (sqrt({self.dot(v, v)}) + 1e-8))"
-
-    def part(self, v: str, start: str, n: int) -> str:
-        return f"list_slice({v}, {start}, {start} + {n} - 1)"
-
-    def explode(self, v: str, pos: str, val: str, frame: str, keep: str) -> str:
-        return f"SELECT {keep}, CAST(unnest(range(len({v}))) AS INT) AS {pos}, CAST(unnest({v}) AS DOUBLE) AS {val} FROM {frame}"
-
-    def pair(self, a: str, x: str, b: str, y: str) -> str:
-        return f"struct_pack({a} := {x}, {b} := {y})"
-
-    def collect(self, val: str, pos: str) -> str:
-        return f"list({val} ORDER BY {pos})"
-
-
-SPARK, DUCKDB = Spark(), DuckDB()
+SPARK = Spark()

@@ -33,7 +33,7 @@ def raw_lines(d):
 @kept
 def parsed(d):
     """Fields of the lines that aren't blank. Written once, as every check reads them."""
-    parts = d.split("line", "\\t" if d.name == "spark" else "\t")
+    parts = d.split("line", "\\t")
     return f"""SELECT usr, line_no, line, {d.size('p')} AS n_cols, trim({d.at('p', 0)}) AS ts_text, {d.try_int(f"trim({d.at('p', 0)})")} AS ts,
     coalesce({d.at('p', 1)}, '') AS artists, coalesce({d.at('p', 2)}, '') AS release_id, coalesce({d.at('p', 3)}, '') AS recording
   FROM (SELECT usr, line_no, line, {parts} AS p FROM raw_lines WHERE trim(line) <> '') AS x"""

@@ -1,6 +1,6 @@
 """Frames and queries by name.
 
-A frame is a function of a dialect that gives its SELECT; it may read input tables and other frames by name. A query is
+A frame is a function that gives its SELECT (its argument has the expressions that frames share); it may read input tables and other frames by name. A query is
 such a function too. Rendering puts the frames that a query needs, and those they need, in front of it; Catalyst then
 prunes columns, pushes filters into the scans and reuses exchanges across the common parts.
 
@@ -8,8 +8,7 @@ A kept frame is planned once: it is written as a table in the shared folder when
 there by all queries of the application, as long as the files of its input tables stay the same. A built frame is a kept
 one that a function of (spark, folder of tables) makes, for what SQL has no words for.
 
-oracle(name) is SQL for DuckDB: the hand-written text of earshot.plans.oracles, which shares nothing with the frames, or,
-for a query that has none there, the same text in DuckDB's dialect.
+oracle(name) is SQL for DuckDB with the same rows: the text of earshot.plans.oracles, which shares nothing with the frames.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.functions.dialect import DUCKDB, SPARK
+from earshot.functions.dialect import SPARK
 from earshot.plans.scratch import discard, gathered, written
 
 Text = Callable[[object], str]
@@ -68,7 +67,7 @@ def words(sql: str) -> list[str]:
     return re.findall(r"[a-z_][a-z0-9_]*", sql)
 
 
-def needed(body: str, dialect, stop: Callable[[str], bool] = lambda _: False) -> Iterator[tuple[str, str]]:
+def needed(body: str, stop: Callable[[str], bool] = lambda _: False) -> Iterator[tuple[str, str]]:
     """Names and texts of the frames that a body needs, those they need first; no further than names to stop at."""
     seen: set[str] = set()
 
@@ -76,23 +75,23 @@ def needed(body: str, dialect, stop: Callable[[str], bool] = lambda _: False) ->
         for name in words(sql):
             if name not in seen and (name in FRAMES or stop(name)):
                 seen.add(name)
-                text = "" if stop(name) else FRAMES[name](dialect)
+                text = "" if stop(name) else FRAMES[name](SPARK)
                 yield from need(text)
                 yield name, text
 
     yield from need(body)
 
 
-def render(body: str, dialect, given: dict[str, str] | None = None) -> str:
+def render(body: str, given: dict[str, str] | None = None) -> str:
     """The SQL of a body with the frames it needs in front; those in `given` as they are there."""
     given = given or {}
-    out = [f"{n} AS ({given.get(n) or text})" for n, text in needed(body, dialect, given.__contains__)]
+    out = [f"{n} AS ({given.get(n) or text})" for n, text in needed(body, given.__contains__)]
     return ("WITH " + ",\n".join(out) + "\n" if out else "") + body
 
 
 def tables_of(body: str) -> set[str]:
     """Input tables that a body reads, through whatever frames."""
-    texts = [body] + [text for _, text in needed(body, SPARK, BUILT.__contains__)]
+    texts = [body] + [text for _, text in needed(body, BUILT.__contains__)]
     names = {w for t in texts for w in words(t)}
     return names & set(TABLES) | {t for n in names & set(BUILT) for t in BUILT[n][1]}
 
@@ -146,8 +145,8 @@ def run_sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     def whole(name: str) -> bool:
         return name in KEPT or name in BUILT or name in TABLES
 
-    given = {n: f"SELECT * FROM {view_of(spark, sf_dir, n)}" for n, _ in list(needed(body, SPARK, whole)) if whole(n) and (n not in TABLES or _exists(spark, f"{sf_dir}/{n}.parquet"))}
-    return spark.sql(render(body, SPARK, given))
+    given = {n: f"SELECT * FROM {view_of(spark, sf_dir, n)}" for n, _ in list(needed(body, whole)) if whole(n) and (n not in TABLES or _exists(spark, f"{sf_dir}/{n}.parquet"))}
+    return spark.sql(render(body, given))
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,7 +160,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle(name: str) -> str:
-    """SQL for DuckDB with the same rows as the query."""
+    """DuckDB SQL with the same rows as the query."""
     from earshot.plans.oracles import ORACLES
 
-    return ORACLES[name] if name in ORACLES else render(QUERIES[name](DUCKDB), DUCKDB)
+    return ORACLES[name]
