@@ -46,7 +46,9 @@ def learn(docs: DataFrame, rows: int = ROWS) -> dict[str, bytes]:
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     whole = 1 << 40
-    shares = labelled.groupBy("lang").agg(F.expr(f"CAST(least({whole}, {4 * rows} * (cast({whole} as decimal(30,0)) / count(*))) AS BIGINT)").alias("share"))
+    # one row a language, as the model itself has, so what is broadcast is far smaller than the model
+    counts = [(r["lang"], min(whole, 4 * rows * whole // r["n"])) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(counts, "lang string, share bigint"))
     low = F.pmod(F.xxhash64("doc_id"), F.lit(whole))
     known = labelled.where(F.col("text").isNotNull()).join(shares, "lang").where(low < F.col("share")).select("lang", "doc_id", "text")
     seeded = Window.partitionBy("lang").orderBy(low, "doc_id", "text")
