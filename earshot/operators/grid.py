@@ -2,8 +2,8 @@
 
 Scoring every user against every item is a matrix product, which SQL has no words for: a lambda over two arrays is
 interpreted per component. Here vectors are packed into blocks of bounded size, each block of users meets each block of
-items in an equi-join on the item block, and one matrix product gives the scores of the two. Only what can enter a user's
-list leaves a block, so rows are users x blocks x k instead of users x items.
+items in one of the tasks that hold a copy of it, and one matrix product gives the scores of the two. Only what can enter a
+user's list leaves a block, so rows are users x blocks x k instead of users x items.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.plans.scratch import ship, written
 
-#: Vectors in a block of users and of items.
+#: Vectors in a block of users and of items; blocks of users that a copy of a block of items is sent to, and tasks at least.
 USERS, ITEMS = 256, 16384
+GROUPS, TASKS = 64, 24
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -44,24 +45,150 @@ def packed(rows: DataFrame, key: str, size: int, name: str, n: int) -> DataFrame
     return rows.withColumn(name, block).groupBy(name).applyInArrow(pack, f"{name} int, {name}_rows binary")
 
 
+def slices(n_users: int, blocks: int = 1) -> int:
+    """Into how many slices users are dealt: GROUPS blocks each, fewer where there would be less than TASKS tasks."""
+    groups = max(1, -(-n_users // USERS))
+    return max(-(-groups // GROUPS), min(groups, -(-TASKS // blocks)))
+
+
+def read(rows: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(rows.as_buffer()).read_all()
+
+
+def streamed(users: DataFrame, items: DataFrame, keys: list[str], tasks: int, schema: str, run: Callable[[Iterator[tuple[int, int, bool, pa.Scalar]]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What run makes of packed rows (slice, block, grp_rows) and (slice, block, block_rows), dealt out by the keys.
+
+    It gets (slice, block, whether of users, rows) ordered by slice, then by block, a block of items before the users that meet
+    it: so a block of items is sent once to each slice and not to each block of users, and a task holds one at a time.
+    """
+    both = items.select("slice", "block", F.lit(False).alias("of_users"), F.col("block_rows").alias("packed")).unionAll(users.select("slice", "block", F.lit(True).alias("of_users"), F.col("grp_rows").alias("packed")))
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, bool, pa.Scalar]]:
+        for batch in batches:
+            yield from zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True)
+
+    return both.repartition(min(4096, tasks), *keys).sortWithinPartitions("slice", "block", "of_users").mapInArrow(lambda batches: run(each(batches)), schema)
+
+
 def cells(users: DataFrame, items: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """What the kernel makes of each block of users (usr, v, ...) and block of items (item, v), as rows."""
     ship(users.sparkSession)
     n_users, n_items = users.count(), items.count()
     blocks = max(1, -(-n_items // ITEMS))
-    u = packed(users, "usr", USERS, "grp", n_users).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = u.join(packed(items, "item", ITEMS, "block", n_items), "block")
-    # a cell's rows are few and its work isn't, so cells are dealt out by number and not joined again
-    dealt = both.repartition(min(4096, max(1, blocks * -(-n_users // USERS))), "block", "grp")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column("grp_rows"), batch.column("block_rows"), strict=True):
-                out = kernel(pa.ipc.open_stream(a.as_buffer()).read_all(), pa.ipc.open_stream(b.as_buffer()).read_all())
+    n = slices(n_users, blocks)
+    u = packed(users, "usr", USERS, "grp", n_users).select(F.pmod("grp", F.lit(n)).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "grp_rows")
+    i = packed(items, "item", ITEMS, "block", n_items).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def run(rows: Iterator[tuple[int, int, bool, pa.Scalar]]) -> Iterator[pa.RecordBatch]:
+        at, right = None, None
+        for part, block, of_users, content in rows:
+            if not of_users:
+                at, right = (part, block), read(content)
+            elif at == (part, block):
+                out = kernel(read(content), right)
                 if out is not None and out.num_rows:
                     yield out
 
-    return dealt.mapInArrow(run, schema)
+    return streamed(u, i, ["slice", "block"], n * blocks, schema, run)
+
+
+def padded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a list column of any lengths with 0 after their end and for null, which components there are, and which aren't null."""
+    column = column.combine_chunks()
+    long, flat = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten()
+    row = np.repeat(np.arange(len(long)), long)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)
+    x, there, known = (np.zeros((len(long), long.max(initial=0))) for _ in range(3))
+    known[row, pos] = flat.is_valid().to_numpy(zero_copy_only=False)
+    x[row, pos] = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+    there[row, pos] = 1.0
+    return x, there, known
+
+
+def by_item(items: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The items and their padded vectors, those of equal items summed up."""
+    item, at = np.unique(items.column("item").to_numpy(), return_inverse=True)
+    out = []
+    for x in padded(items.column("v")):
+        total = np.zeros((len(item), x.shape[1]))
+        np.add.at(total, at, x)
+        out.append(total)
+    return item, out
+
+
+def centres(scores: DataFrame, items: DataFrame, plain: float) -> DataFrame:
+    """Rows (usr, v): the mean vector of a user's items, weighted by the scores (usr, item, score > 0), and a share of their plain mean.
+
+    The items (item, v) that have scores are sent in blocks to each slice of users, and a slice holds the sums of its users; so
+    no row is made for a score's vector, let alone for each of its components.
+    """
+    ship(scores.sparkSession)
+    scores = written(scores.where("item IS NOT NULL"), "scores")
+    items = written(items.where("v IS NOT NULL").join(scores.select("item").distinct(), "item", "left_semi").select("item", "v"), "items")
+    n_users, n_items = scores.select("usr").distinct().count(), items.count()
+    blocks, groups, n = max(1, -(-n_items // ITEMS)), max(1, -(-n_users // USERS)), slices(n_users)
+    i = packed(items, "item", ITEMS, "block", n_items).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def pack(t: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        rows = t.select(["usr", "item", "score"]).sort_by("usr")
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        return pa.table({"slice": pa.array([t.column("grp")[0].as_py() % n], pa.int32()), "block": t.column("block")[:1].combine_chunks(), "grp_rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def dealt(key: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+    u = scores.withColumn("grp", dealt("usr", groups)).withColumn("block", dealt("item", blocks)).groupBy("grp", "block").applyInArrow(pack, "slice int, block int, grp_rows binary")
+
+    def ended(sums: dict[int | None, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        users = list(sums)
+        for k in range(0, len(users), USERS):
+            vectors = []
+            for usr in users[k : k + USERS]:
+                s, w, x, m = sums[usr]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    v = (1.0 - plain) * s / w + plain * x / m
+                vectors.append(pa.array(v, mask=(w == 0) | (m == 0)))
+            offsets = pa.array(np.cumsum([0] + [len(v) for v in vectors]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(users[k : k + USERS], pa.int64()), pa.ListArray.from_arrays(offsets, pa.concat_arrays(vectors))], names=["usr", "v"])
+
+    def run(rows: Iterator[tuple[int, int, bool, pa.Scalar]]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int | None, np.ndarray] = {}
+        now, at = None, None
+        for part, block, of_users, content in rows:
+            if part != now:
+                yield from ended(sums)
+                sums, now = {}, part
+            if not of_users:
+                at, (item, (x, there, known)) = (part, block), by_item(read(content))
+            elif at == (part, block):
+                add(sums, read(content), item, x, there, known)
+        yield from ended(sums)
+
+    return streamed(u, i, ["slice"], n, "usr bigint, v array<double>", run)
+
+
+def add(sums: dict[int | None, np.ndarray], scores: pa.Table, item: np.ndarray, x: np.ndarray, there: np.ndarray, known: np.ndarray) -> None:
+    """Adds a block's part to each user's sums: of weighted components and their weights, of components and their number."""
+    scores = scores.combine_chunks()
+    usr = scores.column("usr").to_pylist()
+    ids, weight = scores.column("item").to_numpy(), scores.column("score").to_numpy()
+    at = np.minimum(np.searchsorted(item, ids), len(item) - 1)
+    here = item[at] == ids
+    starts = [k for k in range(len(usr)) if not k or usr[k] != usr[k - 1]]
+    for a, b in zip(starts, [*starts[1:], len(usr)], strict=True):
+        chosen, w = at[a:b][here[a:b]], weight[a:b][here[a:b]]
+        if not len(chosen):
+            continue
+        # scores without a value have no weight
+        scored = ~np.isnan(w)
+        mine = np.stack([w[scored] @ x[chosen[scored]], w[scored] @ there[chosen[scored]], x[chosen].sum(axis=0), known[chosen].sum(axis=0)])[:, there[chosen].any(axis=0)]
+        before = sums.get(usr[a])
+        if before is not None:
+            short, mine = sorted((before, mine), key=lambda s: s.shape[1])
+            mine[:, : short.shape[1]] += short
+        sums[usr[a]] = mine
 
 
 def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -87,20 +87,22 @@ def catalogue(d):
     return f"SELECT CAST(vec_id AS INT) AS item, {d.scale('embedding')} AS v FROM embeddings"
 
 
-@frame
-def catalogue_parts(d):
-    return d.explode("v", "pos", "x", "catalogue", "item")
+def taste_of(vectors: str):
+    """What builds each user's blend of the weighted centre of played items and their plain mean, by the exploration."""
 
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scores = table(spark, sf_dir, "repeat_scores").select("usr", "item", (F.col("score") + 1e-6).alias("score"))
+        return grid.centres(scores, table(spark, sf_dir, vectors), EXPLORATION)
 
-def taste_of(parts: str) -> str:
-    return f"""SELECT r.usr, p.pos, {1 - EXPLORATION}e0 * sum((r.score + 1e-6) * p.x) / sum(r.score + 1e-6) + {EXPLORATION}e0 * avg(p.x) AS x
-  FROM repeat_scores AS r JOIN {parts} AS p ON r.item = p.item GROUP BY r.usr, p.pos"""
+    return build, ("events", "embeddings")
 
 
-@kept
+BUILT["taste_vectors"] = taste_of("catalogue")
+
+
+@frame
 def taste(d):
-    """Blend of the weighted centre of played items and their plain mean, by the exploration."""
-    return taste_of("catalogue_parts")
+    return d.explode("v", "pos", "x", "taste_vectors", "usr")
 
 
 @query
@@ -110,14 +112,14 @@ def srv_taste_center(d):
 
 def repeat_vectors(d, vectors: str) -> str:
     """Users with their normalised taste, the weight of the present hour and day, and their repeat scores by item."""
-    means = f"SELECT usr, {d.collect('x', 'pos')} AS v, sqrt(sum(x * x)) AS norm FROM {vectors} GROUP BY usr"
+    means = f"SELECT usr, v, sqrt({d.dot('v', 'v')}) AS norm FROM {vectors}"
     scores = "SELECT usr, array_sort(collect_list(struct(item, score))) AS s FROM repeat_scores GROUP BY usr"
     return f"SELECT m.usr, transform(m.v, x -> x / (m.norm + 1e-12)) AS v, c.w, s.s.item AS items, s.s.score AS repeat FROM ({means}) AS m JOIN ({scores}) AS s ON s.usr = m.usr JOIN context_weights AS c ON c.usr = m.usr"
 
 
 @kept
 def user_vectors(d):
-    return repeat_vectors(d, "taste")
+    return repeat_vectors(d, "taste_vectors")
 
 
 def recommended(users: str, items: str, in_context: bool, exclude: bool):

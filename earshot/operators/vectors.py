@@ -261,15 +261,13 @@ def agg_same_brand_rate(d):
     return f"SELECT round(avg(CASE WHEN a.p_brand = b.p_brand THEN 1e0 ELSE 0e0 END), 6) AS rate, count(*) AS n FROM ({top('exact', 'usr <> item', 10)}) AS t JOIN part AS a ON a.p_partkey = t.query_id JOIN part AS b ON b.p_partkey = t.item"
 
 
-@frame
-def decoded_parts(d):
-    return f"SELECT item, subspace * {WIDTH} + CAST(p AS INT) AS pos, x FROM decoded LATERAL VIEW posexplode(centroid) AS p, x"
+@kept
+def decoded_vectors(d):
+    return f"SELECT item, flatten({d.collect('centroid', 'subspace')}) AS v FROM decoded GROUP BY item"
 
 
-@kept
-def taste_by_codes(d):
-    """The taste of each user from decoded vectors."""
-    return taste_of("decoded_parts")
+#: The taste of each user from decoded vectors.
+BUILT["taste_by_codes"] = taste_of("decoded_vectors")
 
 
 @kept
@@ -280,7 +278,7 @@ def user_vectors_by_codes(d):
 @kept
 def unit_decoded(d):
     """Decoded vectors of length one."""
-    return f"SELECT item, transform(v, x -> x / (norm + 1e-12)) AS v FROM (SELECT item, {d.collect('x', 'pos')} AS v, sqrt(sum(x * x)) AS norm FROM decoded_parts GROUP BY item) AS c"
+    return f"SELECT item, transform(v, x -> x / (norm + 1e-12)) AS v FROM (SELECT item, v, sqrt({d.dot('v', 'v')}) AS norm FROM decoded_vectors) AS c"
 
 
 BUILT["recommended_pq"] = recommended("user_vectors_by_codes", "unit_decoded", False, True)

@@ -170,3 +170,60 @@ def test_two_gini_definitions_agree(spark):
     a = catalog.run(spark, DATA, "dst_gini_rank").first()[0]
     b = catalog.run(spark, DATA, "dst_gini_lorenz").first()[0]
     assert abs(a - b) < 1e-8
+
+
+def test_centres_against_plain_loops(spark, monkeypatch):
+    """Over several blocks and slices, with items that repeat, are missing, end early or have nulls, and scores without a value."""
+    for name, size in (("USERS", 3), ("ITEMS", 4), ("GROUPS", 1)):
+        monkeypatch.setattr(grid, name, size)
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.normal(size=5 if i % 6 else 3).tolist()) for i in range(15)] + [(4, rng.normal(size=5).tolist()), (15, None), (16, [1.0, None, 2.0]), (17, [float("nan")] * 5)]
+    scores = [(u, i, float(rng.uniform(0.1, 2)) if ((u or 0) + i) % 5 else None) for u in [*range(20), None] for i in range(16) if rng.uniform() < 0.4]
+    scores += [(20, 16, 1.0), (20, 2, 3.0), (21, 15, 1.0), (22, 99, 1.0), (23, 17, 1.0), (23, 3, 1.0), (24, None, 1.0), (25, 16, 2.0)]
+    got = {r.usr: r.v for r in grid.centres(spark.createDataFrame(scores, "usr long, item int, score double"), spark.createDataFrame(vectors, "item int, v array<double>"), 0.3).collect()}
+    want = {}
+    for u in {u for u, *_ in scores}:
+        mine = [(s, v) for w, i, s in scores if w == u for j, v in vectors if j == i and v is not None]
+        for p in range(max((len(v) for _, v in mine), default=0)):
+            there = [(s, v[p]) for s, v in mine if len(v) > p]
+            top = [s * x for s, x in there if s is not None and x is not None]
+            weight, plain = sum(s for s, _ in there if s is not None), [x for _, x in there if x is not None]
+            want.setdefault(u, []).append(0.7 * sum(top) / weight + 0.3 * sum(plain) / len(plain) if top else None)
+    assert set(got) == set(want) and {21, 22, 24}.isdisjoint(got)
+    for u, v in want.items():
+        assert [x is None for x in v] == [x is None for x in got[u]], u
+        assert np.allclose([x or 0.0 for x in v], [x or 0.0 for x in got[u]], rtol=0, atol=1e-12, equal_nan=True), u
+
+
+def shuffled(spark):
+    """Bytes that the application has written to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+@pytest.fixture(scope="module")
+def listeners(spark, tmp_path_factory):
+    """2,000 users with 40 listens each to 500 items, and 3,000 vectors (1.5 MB in doubles)."""
+    folder = f"file://{tmp_path_factory.mktemp('listeners')}"
+    kind = "array('view', 'purchase', 'signup', 'click', 'error')[pmod(hash(id), 5)]"
+    events = spark.range(80_000).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 30) AS ts", "pmod(id, 2000) AS user_id", f"{kind} AS event_type", "0e0 AS value", "concat('{\"k\": ', pmod(xxhash64(id), 500), '}') AS props")
+    events.coalesce(2).write.parquet(f"{folder}/events.parquet")
+    spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(0, 63), j -> CAST(pmod(xxhash64(id, j), 1000) / 500.0 - 1 AS FLOAT)) AS embedding", "0 AS label").coalesce(2).write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+def shuffle_of(spark, folder, name, monkeypatch):
+    """MB that the query shuffles with small blocks of users, all frames being written anew."""
+    monkeypatch.setattr(grid, "USERS", 16)
+    monkeypatch.setattr(grid, "TASKS", 4, raising=False)
+    monkeypatch.setattr(catalog, "_views", {})
+    before = shuffled(spark)
+    assert catalog.run(spark, folder, name).count() in (2000, 40_000)
+    return (shuffled(spark) - before) / 1e6
+
+
+@pytest.mark.parametrize("name", ["srv_recommend_with_played"])
+def test_vectors_are_not_shuffled_for_each_score_or_block_of_users(spark, listeners, monkeypatch, name):
+    assert shuffle_of(spark, listeners, name, monkeypatch) < 60
