@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.plans.scratch import ship, written
+from earshot.plans.scratch import released, ship, written
 
 #: Vectors in a block of users and of items; blocks of users that a copy of a block of items is sent to, and tasks at least.
-USERS, ITEMS = 256, 16384
-GROUPS, TASKS = 64, 24
+USERS, ITEMS = 128, 32768
+GROUPS, TASKS = 128, 12
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -237,12 +237,15 @@ def blended(users: DataFrame, items: DataFrame, k: int, w_repeat: float, w_disco
         s = scored(u, i)
         return pa.RecordBatch.from_arrays([u.column("usr").combine_chunks().cast(pa.int64()), pa.array(s.min(axis=1)), pa.array(s.max(axis=1))], names=["usr", "lo", "hi"])
 
+    released(users.sparkSession)
     n = items.count()
     span = cells(users.select("usr", "v"), items, bounds, "usr bigint, lo double, hi double").groupBy("usr").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # an item that isn't played has a repeat score of 0
     least = F.when(F.size("items") < n, F.least(F.lit(0.0), F.array_min("repeat"))).otherwise(F.array_min("repeat"))
     most = F.when(F.size("items") < n, F.greatest(F.lit(0.0), F.array_max("repeat"))).otherwise(F.array_max("repeat"))
     full = written(users.join(span, "usr").withColumn("r_lo", least).withColumn("r_hi", most), "users")
+    del span
+    released(users.sparkSession)
 
     def kernel(u: pa.Table, i: pa.Table) -> pa.RecordBatch:
         def scale(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -81,3 +83,11 @@ def discard(*tables: DataFrame | None) -> None:
         if path:
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more, which it does after the driver's garbage is collected."""
+    for _ in range(2):  # what the first round frees may hold plans itself
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
