@@ -224,6 +224,6 @@ def shuffle_of(spark, folder, name, monkeypatch):
     return (shuffled(spark) - before) / 1e6
 
 
-@pytest.mark.parametrize("name", ["srv_recommend_with_played", "srv_breakdown", "srv_recommend_in_context", "srv_recommend"])
+@pytest.mark.parametrize("name", ["srv_recommend_with_played", "srv_breakdown", "srv_recommend_in_context", "srv_recommend", "srv_recommend_pq"])
 def test_vectors_are_not_shuffled_for_each_score_or_block_of_users(spark, listeners, monkeypatch, name):
     assert shuffle_of(spark, listeners, name, monkeypatch) < 60
