@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from earshot.plans.scratch import released, ship, written
 
 #: Vectors in a block of users and of items; blocks of users that a copy of a block of items is sent to, and tasks at least.
-USERS, ITEMS = 128, 32768
-GROUPS, TASKS = 128, 12
+USERS, ITEMS = 32, 65536
+GROUPS, TASKS = 512, 6
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """The rows of a list column, all of one length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
@@ -55,6 +55,24 @@ def read(rows: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(rows.as_buffer()).read_all()
 
 
+def opened_as(t: pa.Table, x: np.ndarray) -> pa.Table:
+    """The items of a block with these vectors."""
+    return pa.table({"item": t.column("item"), "v": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))})
+
+
+def divided(*by: str) -> Callable[[pa.Scalar], pa.Table]:
+    """What opens a block of items with their vectors divided by these columns, one after the other: vectors as narrow as they are given take less to send."""
+
+    def opened(rows: pa.Scalar) -> pa.Table:
+        t = read(rows)
+        x = matrix(t.column("v"))
+        for c in by:
+            x = x / t.column(c).to_numpy()[:, None]
+        return opened_as(t, x)
+
+    return opened
+
+
 def streamed(users: DataFrame, items: DataFrame, keys: list[str], tasks: int, schema: str, run: Callable[[Iterator[tuple[int, int, bool, pa.Scalar]]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """What run makes of packed rows (slice, block, grp_rows) and (slice, block, block_rows), dealt out by the keys.
 
@@ -70,26 +88,44 @@ def streamed(users: DataFrame, items: DataFrame, keys: list[str], tasks: int, sc
     return both.repartition(min(4096, tasks), *keys).sortWithinPartitions("slice", "block", "of_users").mapInArrow(lambda batches: run(each(batches)), schema)
 
 
-def cells(users: DataFrame, items: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """What the kernel makes of each block of users (usr, v, ...) and block of items (item, v), as rows."""
+def blocks_of(n_items: int) -> int:
+    return max(1, -(-n_items // ITEMS))
+
+
+def cells(users: DataFrame, items: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.RecordBatch | None], schema: str, opened: Callable[[pa.Scalar], pa.Table] = read) -> DataFrame:
+    """What the kernel makes of each block of users (usr, v, ...) and block of items (item, ...), as rows.
+
+    A task holds one block of items, once opened, and cuts the users that are sent to it into blocks as they come, so users are
+    shuffled once for each block of items and not packed first.
+    """
     ship(users.sparkSession)
     n_users, n_items = users.count(), items.count()
-    blocks = max(1, -(-n_items // ITEMS))
+    blocks = blocks_of(n_items)
     n = slices(n_users, blocks)
-    u = packed(users, "usr", USERS, "grp", n_users).select(F.pmod("grp", F.lit(n)).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "grp_rows")
+    u = users.select(F.pmod(F.xxhash64("usr"), F.lit(n)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.struct(*users.columns).alias("row"))
     i = packed(items, "item", ITEMS, "block", n_items).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    both = i.select("slice", "block", F.lit(None).cast(u.schema["row"].dataType).alias("row"), F.col("block_rows").alias("packed")).unionAll(u.select("slice", "block", "row", F.lit(None).cast("binary").alias("packed")))
 
-    def run(rows: Iterator[tuple[int, int, bool, pa.Scalar]]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, right = None, None
-        for part, block, of_users, content in rows:
-            if not of_users:
-                at, right = (part, block), read(content)
-            elif at == (part, block):
-                out = kernel(read(content), right)
-                if out is not None and out.num_rows:
-                    yield out
-
-    return streamed(u, i, ["slice", "block"], n * blocks, schema, run)
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2).is_null().to_pylist(), strict=True))
+            a = 0
+            while a < len(keys):
+                if keys[a][2]:
+                    at, right = keys[a][:2], opened(batch.column(3)[a])
+                    a += 1
+                    continue
+                b = a + 1
+                while b < len(keys) and b < a + USERS and keys[b] == keys[a]:
+                    b += 1
+                if keys[a][:2] == at:
+                    out = kernel(pa.Table.from_struct_array(batch.column(2)[a:b]), right)
+                    if out is not None and out.num_rows:
+                        yield out
+                a = b
+
+    return both.repartitionById(min(4096, n * blocks), F.col("slice") * blocks + F.col("block")).sortWithinPartitions("slice", "block", F.col("row").isNotNull()).mapInArrow(run, schema)
 
 
 def padded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,6 +243,14 @@ def scored(users: pa.Table, items: pa.Table) -> np.ndarray:
     return matrix(users.column("v")) @ matrix(items.column("v")).T
 
 
+def ranks(row: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Place from 0 of each score among those of its row, the largest first, the first ones at ties; rows are in order."""
+    order = np.lexsort((-score, row))
+    out = np.empty(len(row), np.int32)
+    out[order] = np.arange(len(row)) - np.searchsorted(row, row)
+    return out
+
+
 def listed(rows: DataFrame, k: int, key: str = "usr") -> DataFrame:
     """The k best rows of each key, with their rank from 0; the window's limit is applied before the shuffle."""
     order = Window.partitionBy(key).orderBy(F.desc("score"), "item")
@@ -225,12 +269,13 @@ def top_scores(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return listed(cells(written(users, "users"), items, kernel, "usr bigint, item int, score double"), k)
 
 
-def blended(users: DataFrame, items: DataFrame, k: int, w_repeat: float, w_discovery: float, exclude: bool) -> DataFrame:
+def blended(users: DataFrame, items: DataFrame, k: int, w_repeat: float, w_discovery: float, exclude: bool, opened: Callable[[pa.Scalar], pa.Table] = read) -> DataFrame:
     """Rows (usr, item, score, played, rank0): repeat scores and products, each scaled over all items, then blended.
 
-    users: (usr, v, w, items, repeat): the vector, the weight on the repeat part, and the repeat scores by item. Products
-    are made twice, for their bounds and for the lists, as that is cheaper than rows for all pairs. With `exclude`
-    played items get -1, so they come last but aren't left out.
+    users: (usr, v, w, items, repeat): the vector, the weight on the repeat part, and the repeat scores by item. Where all items
+    are one block, a block of users gets its bounds and whole lists there. Otherwise products are made twice, for their bounds
+    and for the lists, as that is cheaper than rows for all pairs. With `exclude` played items get -1, so they come last but
+    aren't left out.
     """
 
     def bounds(u: pa.Table, i: pa.Table) -> pa.RecordBatch:
@@ -239,20 +284,25 @@ def blended(users: DataFrame, items: DataFrame, k: int, w_repeat: float, w_disco
 
     released(users.sparkSession)
     n = items.count()
-    span = cells(users.select("usr", "v"), items, bounds, "usr bigint, lo double, hi double").groupBy("usr").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    whole = blocks_of(n) == 1
     # an item that isn't played has a repeat score of 0
     least = F.when(F.size("items") < n, F.least(F.lit(0.0), F.array_min("repeat"))).otherwise(F.array_min("repeat"))
     most = F.when(F.size("items") < n, F.greatest(F.lit(0.0), F.array_max("repeat"))).otherwise(F.array_max("repeat"))
-    full = written(users.join(span, "usr").withColumn("r_lo", least).withColumn("r_hi", most), "users")
-    del span
-    released(users.sparkSession)
+    full = users.withColumn("r_lo", least).withColumn("r_hi", most)
+    if not whole:
+        span = cells(users.select("usr", "v"), items, bounds, "usr bigint, lo double, hi double", opened).groupBy("usr").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        full = written(full.join(span, "usr"), "users")
+        del span
+        released(users.sparkSession)
 
     def kernel(u: pa.Table, i: pa.Table) -> pa.RecordBatch:
         def scale(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
             flat = hi - lo < 1e-12
             return np.where(flat[:, None], 0.0, (x - lo[:, None]) / np.where(flat, 1.0, hi - lo)[:, None])
 
-        column = {c: u.column(c).to_numpy() for c in ("usr", "w", "lo", "hi", "r_lo", "r_hi")}
+        products = scored(u, i)
+        column = {c: u.column(c).to_numpy() for c in ("usr", "w", "r_lo", "r_hi")}
+        lo, hi = (products.min(axis=1), products.max(axis=1)) if whole else (u.column("lo").to_numpy(), u.column("hi").to_numpy())
         item = i.column("item").to_numpy()
         repeat, played = np.zeros((len(u), len(item))), np.zeros((len(u), len(item)), bool)
         for r, (ids, scores) in enumerate(zip(u.column("items").to_pylist(), u.column("repeat").to_pylist(), strict=True)):
@@ -260,12 +310,12 @@ def blended(users: DataFrame, items: DataFrame, k: int, w_repeat: float, w_disco
             here = (at < len(item)) & (item[np.minimum(at, len(item) - 1)] == ids)
             repeat[r, at[here]] = np.array(scores)[here]
             played[r, at[here]] = True
-        x = scale(scored(u, i), column["lo"], column["hi"])
-        s = np.round(w_repeat * scale(repeat, column["r_lo"], column["r_hi"]) * column["w"][:, None] + w_discovery * x, 9) + 0.0
+        s = np.round(w_repeat * scale(repeat, column["r_lo"], column["r_hi"]) * column["w"][:, None] + w_discovery * scale(products, lo, hi), 9) + 0.0
         if exclude:
             s[played] = -1.0
         row, col = best(s, k)
-        arrays = [pa.array(column["usr"][row], pa.int64()), pa.array(item[col], pa.int32()), pa.array(s[row, col]), pa.array(played[row, col].astype(np.int32))]
-        return pa.RecordBatch.from_arrays(arrays, names=["usr", "item", "score", "played"])
+        arrays = [pa.array(column["usr"][row], pa.int64()), pa.array(item[col], pa.int32()), pa.array(s[row, col]), pa.array(played[row, col].astype(np.int32)), pa.array(ranks(row, s[row, col]))]
+        return pa.RecordBatch.from_arrays(arrays, names=["usr", "item", "score", "played", "rank0"])
 
-    return listed(cells(full, items, kernel, "usr bigint, item int, score double, played int"), k)
+    rows = cells(full, items, kernel, "usr bigint, item int, score double, played int, rank0 int", opened)
+    return rows if whole else listed(rows.drop("rank0"), k)

@@ -82,7 +82,7 @@ def srv_context_weight(d):
     return "SELECT usr, w FROM context_weights"
 
 
-@kept
+@frame
 def catalogue(d):
     return f"SELECT CAST(vec_id AS INT) AS item, {d.scale('embedding')} AS v FROM embeddings"
 
@@ -122,21 +122,22 @@ def user_vectors(d):
     return repeat_vectors(d, "taste_vectors")
 
 
-def recommended(users: str, items: str, in_context: bool, exclude: bool):
-    """What builds the lists of K of the hybrid ranking."""
+def recommended(users: str, items: str, in_context: bool, exclude: bool, opened=lambda spark, sf_dir: grid.divided("scaled", "unit")):
+    """What builds the lists of K of the hybrid ranking; opened(spark, folder) is what makes unit vectors of a block of the items."""
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, users)
         rows = rows if in_context else rows.withColumn("w", F.lit(1.0))
-        return grid.blended(rows, table(spark, sf_dir, items), K, W_REPEAT, W_DISCOVERY, exclude)
+        return grid.blended(rows, table(spark, sf_dir, items), K, W_REPEAT, W_DISCOVERY, exclude, opened(spark, sf_dir))
 
     return build, ("events", "embeddings")
 
 
-@kept
+@frame
 def unit_catalogue(d):
-    """All items, of length one."""
-    return f"SELECT item, transform(v, x -> x / (norm + 1e-12)) AS v FROM (SELECT item, v, sqrt({d.dot('v', 'v')}) AS norm FROM catalogue) AS c"
+    """All items as they are given, and what their vectors are divided by one after the other to be of length one."""
+    v = d.scale("embedding")
+    return f"SELECT CAST(vec_id AS INT) AS item, embedding AS v, sqrt({d.dot('embedding', 'embedding')}) + 1e-8 AS scaled, sqrt({d.dot(v, v)}) + 1e-12 AS unit FROM embeddings"
 
 
 BUILT["recommended_new"] = recommended("user_vectors", "unit_catalogue", False, True)

@@ -281,7 +281,7 @@ def unit_decoded(d):
     return f"SELECT item, transform(v, x -> x / (norm + 1e-12)) AS v FROM (SELECT item, v, sqrt({d.dot('v', 'v')}) AS norm FROM decoded_vectors) AS c"
 
 
-BUILT["recommended_pq"] = recommended("user_vectors_by_codes", "unit_decoded", False, True)
+BUILT["recommended_pq"] = recommended("user_vectors_by_codes", "unit_decoded", False, True, lambda spark, sf_dir: grid.read)
 
 
 @query

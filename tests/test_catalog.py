@@ -10,7 +10,7 @@ import pytest
 
 import earshot.operators  # noqa: F401
 from earshot.operators import grid, vectors
-from earshot.plans import catalog, flagship, oracles
+from earshot.plans import catalog, flagship, oracles, scratch
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not there")
@@ -227,3 +227,38 @@ def shuffle_of(spark, folder, name, monkeypatch):
 @pytest.mark.parametrize("name", ["srv_recommend_with_played", "srv_breakdown", "srv_recommend_in_context", "srv_recommend", "srv_recommend_pq"])
 def test_vectors_are_not_shuffled_for_each_score_or_block_of_users(spark, listeners, monkeypatch, name):
     assert shuffle_of(spark, listeners, name, monkeypatch) < 60
+
+
+def shared(spark):
+    """Bytes in the folder of written frames."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch.shared_root(spark)}/earshot")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+
+@pytest.mark.parametrize(("name", "most"), [("srv_recommend_in_context", 24)])
+def test_users_are_shuffled_once_and_items_stay_narrow(spark, listeners, monkeypatch, name, most):
+    """MB of shuffles and frames together: no frame is made of vectors that the input has, and lists come whole from their block."""
+    before = shared(spark)
+    mb = shuffle_of(spark, listeners, name, monkeypatch)
+    assert mb + (shared(spark) - before) / 1e6 < most
+
+
+def test_one_block_gives_what_several_give(spark, monkeypatch):
+    """Also at ties, with a user whose products are all equal, and with vectors that are divided in their block."""
+    monkeypatch.setattr(grid, "USERS", 3)
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(23, 4)), 1)
+    v[7], v[11], v[20] = v[3], v[3], v[3]
+    by = rng.uniform(0.5, 2.0, size=(23, 2))
+    users = [(i, x.tolist(), 0.5 + i / 20, [0, 3, 7, 19][: i % 4 + 1], [1.0, 0.5, 0.5, 2.0][: i % 4 + 1]) for i, x in enumerate([*rng.normal(size=(10, 4)), np.zeros(4)])]
+    users = spark.createDataFrame(users, "usr long, v array<double>, w double, items array<int>, repeat array<double>")
+    items = spark.createDataFrame([(i, x.tolist(), *map(float, by[i])) for i, x in enumerate(v)], "item int, v array<float>, a double, b double")
+    plain = spark.createDataFrame([(i, (np.float32(x) / by[i, 0] / by[i, 1]).tolist()) for i, x in enumerate(v)], "item int, v array<double>")
+    for k in (1, 6, 40):
+        for exclude in (False, True):
+            monkeypatch.setattr(grid, "ITEMS", 100)
+            one = {tuple(r) for r in grid.blended(users, items, k, 0.7, 0.3, exclude, grid.divided("a", "b")).collect()}
+            monkeypatch.setattr(grid, "ITEMS", 5)
+            assert one == {tuple(r) for r in grid.blended(users, plain, k, 0.7, 0.3, exclude).collect()}
+            assert len(one) == 11 * min(k, 23)
