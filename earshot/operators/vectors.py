@@ -261,7 +261,7 @@ def agg_same_brand_rate(d):
     return f"SELECT round(avg(CASE WHEN a.p_brand = b.p_brand THEN 1e0 ELSE 0e0 END), 6) AS rate, count(*) AS n FROM ({top('exact', 'usr <> item', 10)}) AS t JOIN part AS a ON a.p_partkey = t.query_id JOIN part AS b ON b.p_partkey = t.item"
 
 
-@kept
+@frame
 def decoded_vectors(d):
     return f"SELECT item, flatten({d.collect('centroid', 'subspace')}) AS v FROM decoded GROUP BY item"
 
@@ -275,13 +275,26 @@ def user_vectors_by_codes(d):
     return repeat_vectors(d, "taste_by_codes")
 
 
-@kept
-def unit_decoded(d):
-    """Decoded vectors of length one."""
-    return f"SELECT item, transform(v, x -> x / (norm + 1e-12)) AS v FROM (SELECT item, v, sqrt({d.dot('v', 'v')}) AS norm FROM decoded_vectors) AS c"
+@frame
+def item_codes(d):
+    return "SELECT item, codes FROM coded"
+
+
+def decoding(spark: SparkSession, sf_dir: str):
+    """What makes decoded vectors of length one of a block of codes, so that codes are sent and not vectors."""
+    c = book(spark, sf_dir)
+
+    def opened(rows: pa.Scalar) -> pa.Table:
+        t = grid.read(rows)
+        codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(len(t), -1)
+        x = np.concatenate([c[s][codes[:, s]] for s in range(len(c))], axis=1)
+        # summed one by one, as SQL does
+        return grid.opened_as(t, x / (np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1:]) + 1e-12))
+
+    return opened
 
 
-BUILT["recommended_pq"] = recommended("user_vectors_by_codes", "unit_decoded", False, True, lambda spark, sf_dir: grid.read)
+BUILT["recommended_pq"] = recommended("user_vectors_by_codes", "item_codes", False, True, decoding)
 
 
 @query

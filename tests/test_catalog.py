@@ -236,7 +236,7 @@ def shared(spark):
     return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
 
 
-@pytest.mark.parametrize(("name", "most"), [("srv_recommend_in_context", 24), ("srv_recommend", 24)])
+@pytest.mark.parametrize(("name", "most"), [("srv_recommend_in_context", 24), ("srv_recommend", 24), ("srv_recommend_pq", 24)])
 def test_users_are_shuffled_once_and_items_stay_narrow(spark, listeners, monkeypatch, name, most):
     """MB of shuffles and frames together: no frame is made of vectors that the input has, and lists come whole from their block."""
     before = shared(spark)
