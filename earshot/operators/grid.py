@@ -14,12 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from earshot.plans.scratch import released, ship, written
 
 #: Vectors in a block of users and of items; blocks of users that a copy of a block of items is sent to, and tasks at least.
 USERS, ITEMS = 32, 65536
 GROUPS, TASKS = 512, 6
+#: Bytes of items, with eight a component, up to which they are broadcast.
+SHARED = 1 << 26
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -128,6 +131,41 @@ def cells(users: DataFrame, items: DataFrame, kernel: Callable[[pa.Table, pa.Tab
     return both.repartitionById(min(4096, n * blocks), F.col("slice") * blocks + F.col("block")).sortWithinPartitions("slice", "block", F.col("row").isNotNull()).mapInArrow(run, schema)
 
 
+def room(items: DataFrame) -> tuple[int, int]:
+    """The number of items and about the bytes of them."""
+    kinds = {T.ArrayType: lambda c: 8 * F.size(c), T.BinaryType: F.octet_length}
+    each = sum((F.coalesce(kinds.get(type(f.dataType), lambda c: F.lit(8))(F.col(f.name)), F.lit(0)) for f in items.schema), F.lit(0))
+    n, size = items.agg(F.count("*"), F.sum(each.cast("bigint"))).first()
+    return n, size or 0
+
+
+def shared(users: DataFrame, items: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.RecordBatch | None], schema: str, opened: Callable[[pa.Scalar], pa.Table] = read) -> DataFrame:
+    """What cells gives, with all items as one block, for items of bounded size: they are broadcast, so neither users nor copies of items are shuffled.
+
+    Where they are more than ITEMS, fewer users meet them at once, so products take no more memory. Users are dealt out anew only if they lie in fewer partitions than TASKS; they are best given as a written table.
+    """
+    ship(users.sparkSession)
+    sink = pa.BufferOutputStream()
+    block = items.toArrow().sort_by("item")
+    with pa.ipc.new_stream(sink, block.schema) as out:
+        out.write_table(block)
+    step = max(1, min(USERS, USERS * ITEMS // max(1, len(block))))
+    packed_rows = users.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    if users.rdd.getNumPartitions() < TASKS:
+        users = users.repartition(TASKS, "usr")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = None
+        for batch in batches:
+            right = opened(pa.scalar(packed_rows.value, pa.binary())) if right is None else right
+            for a in range(0, batch.num_rows if right.num_rows else 0, step):
+                out = kernel(pa.Table.from_batches([batch.slice(a, step)]), right)
+                if out is not None and out.num_rows:
+                    yield out
+
+    return users.mapInArrow(run, schema)
+
+
 def padded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows of a list column of any lengths with 0 after their end and for null, which components there are, and which aren't null."""
     column = column.combine_chunks()
@@ -273,7 +311,7 @@ def blended(users: DataFrame, items: DataFrame, k: int, w_repeat: float, w_disco
     """Rows (usr, item, score, played, rank0): repeat scores and products, each scaled over all items, then blended.
 
     users: (usr, v, w, items, repeat): the vector, the weight on the repeat part, and the repeat scores by item. Where all items
-    are one block, a block of users gets its bounds and whole lists there. Otherwise products are made twice, for their bounds
+    are one block or of up to SHARED bytes, a block of users gets its bounds and whole lists there. Otherwise products are made twice, for their bounds
     and for the lists, as that is cheaper than rows for all pairs. With `exclude` played items get -1, so they come last but
     aren't left out.
     """
@@ -283,8 +321,9 @@ def blended(users: DataFrame, items: DataFrame, k: int, w_repeat: float, w_disco
         return pa.RecordBatch.from_arrays([u.column("usr").combine_chunks().cast(pa.int64()), pa.array(s.min(axis=1)), pa.array(s.max(axis=1))], names=["usr", "lo", "hi"])
 
     released(users.sparkSession)
-    n = items.count()
-    whole = blocks_of(n) == 1
+    n, size = room(items)
+    meet = shared if size <= SHARED else cells
+    whole = meet is shared or blocks_of(n) == 1
     # an item that isn't played has a repeat score of 0
     least = F.when(F.size("items") < n, F.least(F.lit(0.0), F.array_min("repeat"))).otherwise(F.array_min("repeat"))
     most = F.when(F.size("items") < n, F.greatest(F.lit(0.0), F.array_max("repeat"))).otherwise(F.array_max("repeat"))
@@ -317,5 +356,5 @@ def blended(users: DataFrame, items: DataFrame, k: int, w_repeat: float, w_disco
         arrays = [pa.array(column["usr"][row], pa.int64()), pa.array(item[col], pa.int32()), pa.array(s[row, col]), pa.array(played[row, col].astype(np.int32)), pa.array(ranks(row, s[row, col]))]
         return pa.RecordBatch.from_arrays(arrays, names=["usr", "item", "score", "played", "rank0"])
 
-    rows = cells(full, items, kernel, "usr bigint, item int, score double, played int, rank0 int", opened)
+    rows = meet(full, items, kernel, "usr bigint, item int, score double, played int, rank0 int", opened)
     return rows if whole else listed(rows.drop("rank0"), k)

@@ -262,3 +262,24 @@ def test_one_block_gives_what_several_give(spark, monkeypatch):
             monkeypatch.setattr(grid, "ITEMS", 5)
             assert one == {tuple(r) for r in grid.blended(users, plain, k, 0.7, 0.3, exclude).collect()}
             assert len(one) == 11 * min(k, 23)
+
+
+def test_items_of_bounded_size_are_broadcast(spark, monkeypatch):
+    """Neither users nor items are shuffled then, also with more items than a block has; lists are those that shuffled blocks give."""
+    monkeypatch.setattr(grid, "USERS", 8)
+    monkeypatch.setattr(grid, "TASKS", 4)
+    rng = np.random.default_rng(7)
+    users = [(i, x.tolist(), 1.0, [i % 50, 50 + i % 30], [1.0, 0.5]) for i, x in enumerate(rng.normal(size=(300, 8)))]
+    users = spark.createDataFrame(users, "usr long, v array<double>, w double, items array<int>, repeat array<double>").repartition(4)
+    users = scratch.written(users, "users")
+    items = scratch.written(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(90, 8)))], "item int, v array<double>"), "items")
+    for block in (100, 40):
+        monkeypatch.setattr(grid, "ITEMS", block)
+        before = shuffled(spark)
+        monkeypatch.setattr(grid, "SHARED", 1 << 26, raising=False)
+        got = {tuple(r) for r in grid.blended(users, items, 7, 0.7, 0.3, True).collect()}
+        # counts only
+        assert shuffled(spark) - before < 1000
+        monkeypatch.setattr(grid, "SHARED", 0, raising=False)
+        assert got == {tuple(r) for r in grid.blended(users, items, 7, 0.7, 0.3, True).collect()}
+        assert len(got) == 300 * 7
