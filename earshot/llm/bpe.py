@@ -45,8 +45,8 @@ from earshot.llm.tokenio import _LETTERS, coded, gather, slices
 SLOTS = 1 << 17
 #: Words of text in a block, at which it is closed.
 BLOCK_WORDS = 6_000_000
-#: Bytes of carried columns, at which it is closed too.
-BLOCK_BYTES = 5_000_000
+#: Bytes of carried columns, at which it is closed too, and of text that is looked at at once.
+BLOCK_BYTES, TEXT_BYTES = 2_500_000, 2_000_000
 #: Bytes from which on a word is cut where no token crosses, and doesn't enter the head.
 LONG = 256
 #: Rows of the sample, and words of the head (at most HEAD * LONG bytes, in fact some MB).
@@ -267,14 +267,14 @@ def _pack(path: str, pattern: str, carried: int, text_at: int, head):
             flat, of_name, counts, places, start = place[at], names.indices.to_numpy(), [], [], 0
             for codes, n, found in held:
                 here, n = gather(flat, count, of_name[start : start + len(found)][codes], n)
-                places.append(here.astype("<i4").tobytes())
-                counts.append(n.astype("<i4").tobytes())
+                places.append(here)
+                counts.append(n.astype(np.int32))
                 start += len(found)
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([as_stream(pa.Table.from_batches(rows))], pa.binary()),
-                    pa.array([b"".join(counts)], pa.binary()),
-                    pa.array([b"".join(places)], pa.binary()),
+                    pa.array([as_stream(pa.table({"n": np.concatenate(counts)}))], pa.binary()),
+                    pa.array([as_stream(pa.table({"place": np.concatenate(places)}))], pa.binary()),
                     _one_list(words.filter(pa.array(own)).cast(pa.large_binary()).cast(pa.binary())),
                 ],
                 names=["rows", "counts", "places", "words"],
@@ -286,7 +286,7 @@ def _pack(path: str, pattern: str, carried: int, text_at: int, head):
         size = room = 0
         for batch in batches:
             texts = batch.column(text_at)
-            for start, end in slices(texts, 5_000_000):
+            for start, end in slices(texts, TEXT_BYTES):
                 held.append(coded(texts.slice(start, end - start)))
                 rows.append(batch.slice(start, end - start).select(list(range(carried))))
                 size += len(held[-1][0])
@@ -313,9 +313,8 @@ def _unpack(head, finish):
         _, top_flat, top_length = head.value
         for batch in batches:
             for r in range(batch.num_rows):
-                table = pa.ipc.open_stream(batch.column("rows")[r].as_buffer()).read_all()
-                counts = np.frombuffer(batch.column("counts")[r].as_py(), "<i4")
-                places = np.frombuffer(batch.column("places")[r].as_py(), "<i4")
+                table, counts, places = (pa.ipc.open_stream(batch.column(c)[r].as_buffer()).read_all() for c in ("rows", "counts", "places"))
+                counts, places = (t.column(0).to_numpy() for t in (counts, places))
                 flat, length = flat_ids(batch.column("tokens")[r].as_py())
                 flat, length = np.concatenate([top_flat, flat]), np.concatenate([top_length, length])
                 at, done, ends = 0, 0, np.cumsum(counts, dtype=np.int64)

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -141,6 +142,20 @@ def test_bpe(docs, empty):
     assert both.where("coalesce(text, '') <> decode(decoded, 'UTF-8')").count() == 0 and set(docs.columns) <= set(both.columns)
 
 
+def test_bpe_blocks_of_carried_texts_are_small(monkeypatch):
+    """What goes through the JVM takes less than the texts, and a block is a small part of what a task holds."""
+    monkeypatch.setattr(bpe, "lean", lambda: None)
+    rng = np.random.default_rng(3)
+    names = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(names[rng.zipf(1.3, size=400) % 5000]) for _ in range(6000)]
+    head = type("Head", (), {"value": (bpe.as_stream(pa.table({"word": pa.array([], pa.string())})), np.empty(0, np.int32), np.empty(0, np.int64))})
+    batches = pa.table({"doc_id": range(6000), "text": texts}).to_batches(max_chunksize=3000)
+    made = list(bpe._pack(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 2, 1, head)(batches))
+    size = sum(map(len, texts))
+    assert sum(pa.ipc.open_stream(b.column("rows")[0].as_buffer()).read_all().num_rows for b in made) == 6000
+    assert sum(b.nbytes for b in made) < 0.8 * size and max(b.nbytes for b in made) < 4_000_000
+
+
 def test_secrets(docs, empty):
     rows = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
     text = HOSTILE[9][1]
